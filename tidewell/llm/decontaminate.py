@@ -15,7 +15,7 @@ Items with the same words are compared once and named by the smallest item_id; `
 
 Defined cases: null and empty texts give no words and no hit; an item of fewer words than the
 shortest span is matched as a whole by a contiguous window of its length; items without words never match;
-rows with the same doc_id are judged together.
+rows with the same doc_id are reported together.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from tidewell.llm.common import read
 
 #: Fixed spaced seeds, each of weight 6; a 0 ignores the word at its position.
 MASKS = ["11011011", "1101000111", "110010101001"]
-#: Windows at a benchmark's item are also tried contiguously if it is shorter than the longest mask.
 MIN_EQUAL = 10
 MIN_SHARE = 0.75
 MAX_BROADCAST_ROWS = 400_000
+#: Documents to drop up to which their keys are broadcast; more are joined by shuffle.
+MAX_DROPS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -115,9 +116,11 @@ def _segment(min_equal: int, min_share: float) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a verified overlap.  The ids to drop are joined by hash, null ids stay."""
-    leaks = overlaps(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """The documents without a verified overlap; each row is judged by its own id and text."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    leaks = overlaps(keyed.select("_row", "text"), benchmark, id_col="_row", **options).select("_row").distinct()
+    bounded = F.broadcast(leaks) if leaks.limit(MAX_DROPS + 1).count() <= MAX_DROPS else leaks
+    return keyed.join(bounded, "_row", "left_anti").drop("_row")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
