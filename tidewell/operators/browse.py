@@ -32,9 +32,9 @@ def card_detail(cards: DataFrame, card_tags: DataFrame, viewer: str | None, ids:
 def time_range(cards: DataFrame, since: str | None = None, until_date: str | None = None) -> DataFrame:
     """From since on, up to the end of the day until_date."""
     if since is not None:
-        cards = cards.where(F.col("card_ts") >= F.lit(since).cast("timestamp"))
+        cards = cards.where(F.col("card_ts") >= F.lit(since).cast("timestamp_ntz"))
     if until_date is not None:
-        cards = cards.where(F.col("card_ts") < F.date_add(F.lit(until_date).cast("date"), 1).cast("timestamp"))
+        cards = cards.where(F.col("card_ts") < F.date_add(F.lit(until_date).cast("date"), 1).cast("timestamp_ntz"))
     return cards
 
 
@@ -99,7 +99,7 @@ def before(siblings: DataFrame, limit: int) -> DataFrame:
 def wander_rank(cards: DataFrame, access: DataFrame, viewer: str | None, now: str, days: int = 7) -> DataFrame:
     """Visible cards older than so many days with the viewer's reads; least read first, then a hash order in place of chance."""
     reads = (access if viewer is None else access.where(F.col("viewer") == viewer)).groupBy("card_id").agg(F.count("*").alias("n_access"))
-    old = visible_cards(cards, viewer).where(F.col("card_ts") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
+    old = visible_cards(cards, viewer).where(F.col("card_ts") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS"))
     return old.join(reads, "card_id", "left").select("card_id", F.coalesce("n_access", F.lit(0)).cast("long").alias("n_access"), F.md5(F.col("card_id").cast("binary")).alias("dice"))
 
 
@@ -126,7 +126,7 @@ def context_dedupe(cards: DataFrame, turns: DataFrame) -> DataFrame:
 
 def last24(cards: DataFrame, turns: DataFrame, viewer: str | None, now: str, limit: int = 80) -> DataFrame:
     """The ledger of the day before now: the newest limit visible cards, then one for each signature, with local day."""
-    moment = F.lit(now).cast("timestamp")
+    moment = F.lit(now).cast("timestamp_ntz")
     window = visible_cards(cards, viewer).where((F.col("card_ts") >= moment - F.expr("INTERVAL 24 HOURS")) & (F.col("card_ts") <= moment))
     newest = window.orderBy(F.desc("card_ts"), "card_id").limit(limit)
     return context_dedupe(newest, turns).withColumn("day", F.to_date("card_ts"))

@@ -30,7 +30,7 @@ class Corpus:
     def said(self) -> DataFrame:
         """Messages of users and assistants."""
         rows = self.table("conversations").where(F.col("role").isin("user", "assistant"))
-        ts = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id AS int), cast(turn AS int), 0)")
+        ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id AS int), cast(turn AS int), 0)")
         return rows.select("conv_id", "turn", "role", "text", canonical_id("message", F.concat(F.lit("conv|"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))).alias("source_uuid"), ts.alias("ts"))
 
     @cached_property
@@ -62,8 +62,8 @@ class Corpus:
     def observations(self) -> DataFrame:
         """Cursor: a session's last node.  Archive root: its first, for every fifth session."""
         order = F.struct("round", "message_seq")
-        ends = self.turns.groupBy("session_id").agg(F.max_by("source_uuid", order).alias("last"), F.min_by("source_uuid", order).alias("first"), F.max("ts").alias("at"))
-        kind = lambda node, name, rows: rows.select(F.concat(F.lit("ctx"), F.col("session_id").cast("string")).alias("context"), F.concat(F.lit("src"), (F.col("session_id") % 20).cast("string")).alias("room"), F.lit("chat").alias("source"), F.lit(name).alias("kind"), F.col(node).alias("node_id"), F.col("at").alias("observed_at"))
+        ends = self.turns.groupBy("session_id").agg(F.max_by("source_uuid", order).alias("last"), F.min_by("source_uuid", order).alias("first"), F.max("ts").alias("ended_at"))
+        kind = lambda node, name, rows: rows.select(F.concat(F.lit("ctx"), F.col("session_id").cast("string")).alias("context"), F.concat(F.lit("src"), (F.col("session_id") % 20).cast("string")).alias("room"), F.lit("chat").alias("source"), F.lit(name).alias("kind"), F.col(node).alias("node_id"), F.col("ended_at").alias("observed_at"))
         both = kind("last", "cursor", ends).unionByName(kind("first", "archive-root", ends.where("session_id % 5 = 0")))
         return both.withColumn("observation_id", canonical_id("", F.col("context"), F.col("kind"), F.col("node_id")))
 
@@ -108,7 +108,7 @@ class Corpus:
         events = self.table("events").where(F.col("event_type").isin("view", "click"))
         return events.crossJoin(F.broadcast(n)).select(
             F.concat(F.lit("d#"), (F.col("event_id") % F.col("n")).cast("string")).alias("card_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("viewer"),
-            F.when(F.col("event_type") == "view", "search").otherwise("other").alias("source"), F.col("ts").alias("at"),
+            F.when(F.col("event_type") == "view", "search").otherwise("other").alias("source"), F.col("ts").alias("read_at"),
         )
 
     @cached_property
@@ -136,7 +136,7 @@ class Corpus:
     def model_calls(self) -> DataFrame:
         n = self.table("conversations").agg((F.max("conv_id") + 1).alias("n"))
         events = self.table("events").where(F.col("event_type").isin("error", "purchase", "signup"))
-        return events.crossJoin(F.broadcast(n)).select("event_id", (F.col("user_id") % F.col("n")).alias("session_id"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
+        return events.crossJoin(F.broadcast(n)).select("event_id", (F.col("user_id") % F.col("n")).alias("session_id"), F.col("ts").alias("called_at"), (F.col("event_type") != "error").alias("ok"))
 
 
 TABLES: dict[str, str] = {
@@ -155,10 +155,10 @@ TABLES: dict[str, str] = {
     "chained": r"""SELECT *, lag(source_uuid) OVER (PARTITION BY session_id ORDER BY round, message_seq) AS parent FROM turns""",
     "nodes": r"""SELECT source_uuid AS node_id, (list(parent ORDER BY session_id))[1] AS parent_id, min(ts) AS occurred_at, min(role) AS role, min(text) AS text, min(session_id) AS owner
       FROM chained GROUP BY source_uuid""",
-    "ends": r"""SELECT session_id, arg_max(source_uuid, ord) AS last, arg_min(source_uuid, ord) AS first, max(ts) AS at FROM turns GROUP BY session_id""",
+    "ends": r"""SELECT session_id, arg_max(source_uuid, ord) AS last, arg_min(source_uuid, ord) AS first, max(ts) AS ended_at FROM turns GROUP BY session_id""",
     "observations": r"""SELECT context, room, source, kind, node_id, observed_at, substr(sha256(context || '|' || kind || '|' || node_id), 1, 32) AS observation_id FROM (
-      SELECT 'ctx' || session_id AS context, 'src' || (session_id % 20) AS room, 'chat' AS source, 'cursor' AS kind, last AS node_id, at AS observed_at FROM ends
-      UNION ALL SELECT 'ctx' || session_id, 'src' || (session_id % 20), 'chat', 'archive-root', first, at FROM ends WHERE session_id % 5 = 0)""",
+      SELECT 'ctx' || session_id AS context, 'src' || (session_id % 20) AS room, 'chat' AS source, 'cursor' AS kind, last AS node_id, ended_at AS observed_at FROM ends
+      UNION ALL SELECT 'ctx' || session_id, 'src' || (session_id % 20), 'chat', 'archive-root', first, ended_at FROM ends WHERE session_id % 5 = 0)""",
     "cards": r"""SELECT 'd#' || d.doc_id AS card_id, d.doc_id, d.doc_id // 5 AS session_id, greatest(d.doc_id % 5, 1) AS turn_start, d.doc_id % 5 + 1 AS turn_end,
       split_part(text, chr(10), 1) AS headline, CASE WHEN d.doc_id % 3 <> 0 THEN text ELSE '' END AS share,
       CASE WHEN d.doc_id % 3 = 0 OR d.doc_id % 5 = 0 THEN text ELSE '' END AS private, d.source AS room, e.ts AS card_ts
@@ -168,16 +168,16 @@ TABLES: dict[str, str] = {
     "card_tags": r"""SELECT 'd#' || doc_id AS card_id, token AS tag FROM (
       SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, token) AS k FROM doc_tokens JOIN token_df USING (token)) WHERE k <= 5""",
     "tag_map": r"""SELECT DISTINCT tag, substr(tag, 1, 6) AS entity FROM card_tags""",
-    "vectors": r"""SELECT 'd#' || vec_id AS card_id, vec_id, embedding AS full_vec, list_concat(embedding[1:32], list_transform(range(32), x -> CAST(0 AS FLOAT))) AS share_vec, label
+    "vectors": r"""SELECT 'd#' || vec_id AS card_id, vec_id, embedding AS full_vec, list_concat(embedding[1:32], list_transform(range(32), lambda x: CAST(0 AS FLOAT))) AS share_vec, label
       FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)""",
     "access": r"""SELECT 'd#' || (event_id % (SELECT count(*) FROM documents)) AS card_id, 'src' || (user_id % 20) AS viewer,
-      CASE WHEN event_type = 'view' THEN 'search' ELSE 'other' END AS source, ts AS at FROM events WHERE event_type IN ('view', 'click')""",
+      CASE WHEN event_type = 'view' THEN 'search' ELSE 'other' END AS source, ts AS read_at FROM events WHERE event_type IN ('view', 'click')""",
     "members": r"""SELECT 'd#' || vec_id AS card_id, 'L' || (label % 3) || '.' || label AS cluster_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)""",
     "clusters": r"""SELECT DISTINCT split_part(cluster_id, '.', 1) AS cluster_id, CAST(NULL AS VARCHAR) AS parent, 1 AS level FROM members
       UNION ALL SELECT DISTINCT cluster_id, split_part(cluster_id, '.', 1), 2 FROM members""",
     "snapshots": r"""SELECT 'n1' AS night, 'C' || label AS cluster_id, 'd#' || vec_id AS card_id FROM embeddings WHERE vec_id % 11 <> 0
       UNION ALL SELECT 'n2', 'C' || ((label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 10), 'd#' || vec_id FROM embeddings""",
-    "model_calls": r"""SELECT event_id, user_id % (SELECT max(conv_id) + 1 FROM conversations) AS session_id, ts AS at, event_type <> 'error' AS ok
+    "model_calls": r"""SELECT event_id, user_id % (SELECT max(conv_id) + 1 FROM conversations) AS session_id, ts AS called_at, event_type <> 'error' AS ok
       FROM events WHERE event_type IN ('error', 'purchase', 'signup')""",
 }
 

@@ -128,7 +128,7 @@ def card_export(c):
   (SELECT count(*) FROM turns WHERE ts BETWEEN TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND TIMESTAMP '{NOW}') AS turns_24h,
   (SELECT count(*) FROM cards) AS cards_all, (SELECT max(card_ts) FROM cards) AS newest_card""")
 def health(c):
-    moment = F.lit(NOW).cast("timestamp")
+    moment = F.lit(NOW).cast("timestamp_ntz")
     day = lambda x: F.sum((F.col(x).between(moment - F.expr("INTERVAL 24 HOURS"), moment)).cast("long"))
     cards = c.cards.agg(day("card_ts").alias("cards_24h"), F.count("*").alias("cards_all"), F.max("card_ts").alias("newest_card"))
     return cards.crossJoin(c.turns.agg(F.coalesce(day("ts"), F.lit(0)).cast("long").alias("turns_24h")))

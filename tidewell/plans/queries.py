@@ -4,7 +4,7 @@ import importlib
 
 from tidewell.plans.registry import ORACLES, QUERIES
 
-for _name in ("q_browse",):
+for _name in ("q_browse", "q_search", "q_forks", "q_index"):
     importlib.import_module(f"tidewell.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
