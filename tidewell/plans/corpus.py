@@ -185,20 +185,17 @@ TABLES: dict[str, str] = {
 def with_tables(sql: str, **more: str) -> str:
     """sql with the derived tables that it names, and more of its own, as common table expressions."""
     tables = TABLES | more
-    needed: set[str] = set()
+    needed: dict[str, None] = {}  # each after those that it names
 
-    def need(text: str) -> None:
+    def need(text: str, *above: str) -> None:
         for name in tables:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                need(tables[name])
+            if name not in needed and name not in above and re.search(rf"\b{name}\b", text):
+                need(tables[name], name, *above)
+                needed[name] = None
 
     need(sql)
-    recursive = "RECURSIVE " if any("RECURSIVE" in tables[n][:12] for n in needed) else ""
-    parts = ", ".join(f"{n} AS ({tables[n].removeprefix('RECURSIVE').strip()})" for n in tables if n in needed)
-    if not parts:
+    if not needed:
         return sql
-    body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE "):
-        return f"WITH RECURSIVE {parts}, {body[15:]}"
-    return f"WITH {recursive}{parts}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {recursive}{parts} {body}"
+    recursive = "RECURSIVE " if any(tables[n].startswith("RECURSIVE ") for n in needed) else ""
+    parts = ", ".join(f"{n} AS ({tables[n].removeprefix('RECURSIVE ')})" for n in needed)
+    return f"WITH {recursive}{parts} {sql.strip()}"

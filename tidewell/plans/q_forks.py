@@ -9,7 +9,7 @@ from tidewell.plans.q_search import BRANCH_TURNS
 from tidewell.plans.registry import VIEWER, query
 
 #: Turns that a card of the viewer's room covers.
-SHARED = SPAN + r" WHERE regexp_matches(c.share, '\S')"
+SHARED = SPAN + f" WHERE c.room = '{VIEWER}'"
 FORKS = {
     "pairs_t": "SELECT a.session_id AS parent, b.session_id AS child, count(*) AS shared, max(a.round) AS parent_round, max(b.round) AS child_round FROM turns a JOIN turns b ON a.source_uuid = b.source_uuid AND a.session_id < b.session_id GROUP BY ALL HAVING count(*) >= 2",
     "sizes_t": "SELECT session_id, count(*) AS n FROM turns GROUP BY session_id",
