@@ -108,7 +108,7 @@ def transcript_messages(files: DataFrame) -> DataFrame:
     parts = F.regexp_extract_all("value", F.lit(r"(?ms)^(\d\d[LC])[ \t]*\r?\n(.*?)(?=^\d\d[LC][ \t]*\r?$|\z)"), F.lit(0))
     rows = files.select("path", F.posexplode(parts).alias("index", "part"))
     head = F.substring("part", 1, 3)
-    return rows.select("path", "index", F.substring(head, 1, 2).cast("long").alias("round"), F.when(head.endswith("L"), "user").otherwise("assistant").alias("role"), F.trim(F.regexp_replace("part", r"^\d\d[LC][ \t]*\r?\n", "")).alias("text"))
+    return rows.select("path", "index", F.substring(head, 1, 2).cast("long").alias("round"), F.when(head.endswith("L"), "user").otherwise("assistant").alias("role"), F.regexp_replace(F.regexp_replace("part", r"^\d\d[LC][ \t]*\r?\n", ""), r"^\s+|\s+$", "").alias("text"))
 
 
 def legacy_messages(files: DataFrame) -> DataFrame:
