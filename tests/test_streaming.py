@@ -74,3 +74,12 @@ def test_tools(spark):
     assert len(got[0]["result"]) == 3 and got[1]["error"]["code"] == -32602 and got[2]["error"]["code"] == -32700 and got[3]["error"]["code"] == -32601
     cards = {r["card_id"]: r for r in got[4]["result"]}
     assert cards["d#4"]["private"] == "" and cards["d#4"]["turns"] == [] and "d#3" in cards
+
+
+def test_command_line(spark, capsys):
+    from tidewell import cli
+
+    assert cli.run([SF, "list"]) == 0 and "session_forks" in capsys.readouterr().out
+    assert cli.run([SF, "--viewer", "src3", "recent", "--limit", "2"]) == 0
+    assert len(json.loads(capsys.readouterr().out)) == 2
+    assert cli.run([SF, "recent", "--limit", "1000"]) == 2 and cli.run([SF, "query", "nothing"]) == 2

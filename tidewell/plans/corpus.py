@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from tidewell.functions.columns import canonical_id, tokens
 from tidewell.operators.rounds import assign_rounds
+from tidewell.store import cut
 
 FORK_OFFSET = 1_000_000
 
@@ -58,6 +59,11 @@ class Corpus:
             F.min_by("parent", F.struct("session_id")).alias("parent_id"), F.min("ts").alias("occurred_at"), F.first("role").alias("role"), F.first("text").alias("text"), F.min("session_id").alias("owner")
         )
 
+    @cached_property
+    def forest(self) -> DataFrame:
+        """nodes, written once: what walks the forest reads it again and again."""
+        return cut(self.nodes, "forest")
+
     @cached_property
     def observations(self) -> DataFrame:
         """Cursor: a session's last node.  Archive root: its first, for every fifth session."""

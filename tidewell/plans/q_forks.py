@@ -58,7 +58,7 @@ def uncovered_nodes(c):
     **BRANCH_TURNS,
 )
 def branch_coverage(c):
-    turns = tree.branch_turns(tree.branch_paths(c.nodes, tree.branches(c.nodes)))
+    turns = tree.branch_turns(tree.branch_paths(c.forest, tree.branches(c.forest)))
     return forks.branch_coverage(turns, browse.card_spans(c.cards.where(F.col("room") == VIEWER), c.turns).select("source_uuid"))
 
 

@@ -115,18 +115,18 @@ def history_page(c):
     **CATALOG, **ROOTS,
 )
 def history_search(c):
-    roots = tree.node_root(c.nodes).select("node_id", "root")
-    return s.history_search(c.nodes, roots, tree.catalog(c.observations), HISTORY)
+    roots = tree.node_root(c.forest).select("node_id", "root")
+    return s.history_search(c.forest, roots, tree.catalog(c.observations), HISTORY)
 
 
 @query("SELECT node_id, root, CAST(depth AS BIGINT) AS depth, false AS cyclic FROM walk", **ROOTS)
 def node_root(c):
-    return tree.node_root(c.nodes)
+    return tree.node_root(c.forest)
 
 
 @query("SELECT root, count(*) AS n_nodes, max(depth) AS max_depth, min(occurred_at) AS first_at FROM walk JOIN nodes USING (node_id) GROUP BY root", **ROOTS)
 def component_nodes(c):
-    found = tree.node_root(c.nodes).join(c.nodes.select("node_id", "occurred_at"), "node_id")
+    found = tree.node_root(c.forest).join(c.nodes.select("node_id", "occurred_at"), "node_id")
     return found.groupBy("root").agg(F.count("*").alias("n_nodes"), F.max("depth").cast("int").alias("max_depth"), F.min("occurred_at").alias("first_at"))
 
 
@@ -148,7 +148,7 @@ ANC = {"anc": "RECURSIVE SELECT node_id AS tip, node_id, 0 AS distance FROM node
 )
 def path_summary(c):
     tips = c.observations.where("kind = 'cursor'").select(F.col("node_id").alias("tip")).distinct()
-    return tree.path_summary(c.nodes, tips)
+    return tree.path_summary(c.forest, tips)
 
 
 @query("SELECT node_id, parent_id FROM (SELECT source_uuid AS node_id, lag('message:' || turn || ':' || conv_id) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id FROM said) WHERE parent_id IS NOT NULL")
@@ -168,7 +168,7 @@ BRANCH = {
 
 @query("SELECT node_id, branch FROM branch_t", **BRANCH)
 def branches(c):
-    return tree.branches(c.nodes)
+    return tree.branches(c.forest)
 
 
 BRANCH_TURNS = BRANCH | ROOTS | ANC | {
@@ -183,12 +183,12 @@ BRANCH_TURNS = BRANCH | ROOTS | ANC | {
 
 @query("SELECT * FROM branch_turns_t", **BRANCH_TURNS)
 def branch_turns(c):
-    return tree.branch_turns(tree.branch_paths(c.nodes, tree.branches(c.nodes)))
+    return tree.branch_turns(tree.branch_paths(c.forest, tree.branches(c.forest)))
 
 
 @query("SELECT branch, pos, node_id, is_context FROM done_t WHERE a = 1 AND pos >= u", **BRANCH_TURNS)
 def eligible_turns(c):
     from tidewell.operators.rounds import completed_rounds
 
-    paths = tree.branch_paths(c.nodes, tree.branches(c.nodes))
+    paths = tree.branch_paths(c.forest, tree.branches(c.forest))
     return completed_rounds(paths, "branch").select("branch", F.col("pos").cast("int").alias("pos"), "node_id", "is_context")
