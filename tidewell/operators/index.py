@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from tidewell.functions.columns import cosine, norm, unit
 from tidewell.operators.components import components
+from tidewell.store import cut
 
 #: Rows of one side of a block of the all-pairs product.
 BLOCK = 2_048
@@ -172,6 +173,17 @@ def cluster_labels(members: DataFrame, entities: DataFrame, stop: set[str] = fro
     return members.select("cluster_id").distinct().join(named, "cluster_id", "left").select("cluster_id", F.coalesce("label", F.lit("(no entities)")).alias("label"))
 
 
+def numbered(rows: DataFrame, order: str, name: str, first: int = 1) -> DataFrame:
+    """rows with a gapless number in the order of a unique column: ranges are numbered apart, and moved by the counts of those before.
+
+    No window spans the table; the counts are one row a partition.
+    """
+    placed = cut(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    starts = placed.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_start", F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)))
+    rank = F.row_number().over(W.partitionBy("_p").orderBy(order))
+    return placed.join(F.broadcast(starts.select("_p", F.coalesce("_start", F.lit(0)).alias("_start"))), "_p").withColumn(name, (F.col("_start") + rank - 1 + first).cast("long")).drop("_p", "_start")
+
+
 def junk_tags(tags: DataFrame, pattern: str) -> DataFrame:
     """Tags of one card that hold punctuation of the pattern."""
     return tags.groupBy("tag").agg(F.countDistinct("card_id").alias("df")).where((F.col("df") == 1) & F.col("tag").rlike(pattern)).select("tag")
