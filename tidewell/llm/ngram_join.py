@@ -8,17 +8,19 @@ verified on the whole sets: 100 * intersection >= 80 * union.
 
 Which points meet in a tree is decided by the content of groups, too.  The groups of a size class are so fine
 (2 to 5 shingles each) that sets with a similarity of 0.8 or more have each group wholly in common
-with a probability of 0.36 or more; N_KEYS groups of each document become block keys.  A pair at
-the threshold misses all of them with a probability below 2e-8, a closer pair far less often; equal sets never.
+with a probability of 0.32 or more; N_KEYS groups of each document become block keys.  A pair at
+the threshold misses all of them with a probability below 3e-7, a closer pair far less often; equal sets never.
 
 1. Equal sets are folded to one node, by the hash of the set, before anything else.
-2. Nodes that share a block are joined to loose clusters (the least node of each block as hub).
-3. A cluster of up to CAP nodes is one R-tree join; each set travels once.
-4. In a larger cluster every node is first verified against the hub that it shares most blocks with, and
-   linked nodes become one component.  What remains are blocks with several components.  In
-   such a block the nodes outside its largest component are joined with all others, in chunks of
-   CAP; pairs inside a component aren't looked at, as they can't change the result.  So a group of a third of all
-   rows costs a verification a row, and no task holds more than two chunks.
+2. Blocks: the points of the nodes that share a key are one R-tree join.  A block gives back a spanning forest of the
+   pairs that the bound lets through, so a block of m nodes costs m - 1 rows at most.  A block of more than BLOCK_CAP nodes is
+   joined in pairs of chunks.  Most chance meetings, such as a passage in common, end here, where only points travel.
+3. The forest's components are clusters: every pair that could be linked lies within one.  A cluster of up to CAP nodes
+   is one exact R-tree join over its sets; each set travels once.
+4. In a larger cluster every node's PARTNERS best pairs of the forest are verified first, and linked nodes become one component.
+   Then the nodes outside the largest component are joined with all others, in chunks of CAP, within the cluster, or within
+   its blocks where it has more than UNIT_CAP nodes.  Pairs inside a component aren't looked at, as they can't change the
+   result.  So a group of a third of all rows costs a few verifications a row, and no task holds more than two chunks.
 5. Components of the links give each document the smallest doc_id that it reaches.
 
 Words are runs of other bytes than space and 0x09-0x0D; A-Z are lower-cased.  Defined cases: null and empty texts, and texts
@@ -36,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tidewell.llm.common import field, read, with_columns, written
 from tidewell.llm.components import components
@@ -47,6 +50,11 @@ N_KEYS = 40
 GROUPS = 32
 LEAF = 16
 CAP = 512
+#: Nodes of a block that are one join of points; a larger block is cut into chunks of half of it, which meet in pairs.
+BLOCK_CAP = 4_096
+#: Nodes of a cluster up to which its strays are joined with the whole cluster; in a larger one they are joined by block.
+UNIT_CAP = 20_480
+PARTNERS = 3
 #: Nodes up to which the list of clustered nodes is broadcast to the second pass over the texts; a longer one is joined by shuffle.
 MAX_BROADCAST = 2_000_000
 CACHE_ENTRIES = 300_000
@@ -211,21 +219,52 @@ def tree_join(sets: list[np.ndarray], known: list[int], asks: list[bool] | None
     return out
 
 
+def survivors_forest(points: np.ndarray) -> list[tuple[int, int, float]]:
+    """A spanning forest (i, j, bound similarity) of the pairs that the bound lets through, each link the best of its node.
+
+    A node takes one pair to every component that it reaches among the nodes before it.
+    """
+    n, sizes = len(points), points.sum(axis=1)
+    if n <= LEAF:
+        common = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+        reach = [np.flatnonzero(CountTree._fits(common[i], int(sizes[i]), sizes, sizes)) for i in range(n)]
+    else:
+        tree = CountTree(points)
+        reach = [tree.reach(points[i]) for i in range(n)]
+    label, out = np.arange(n), []
+    for i in range(1, n):
+        near = reach[i][reach[i] < i]
+        if not len(near):
+            continue
+        common = np.minimum(points[near], points[i]).sum(axis=1)
+        ratio = common / (sizes[near] + sizes[i] - common)
+        order = np.lexsort((near, -ratio))
+        labels = label[near][order]
+        names, first = np.unique(labels, return_index=True)
+        out += [(i, int(near[order[f]]), float(ratio[order[f]])) for f in first]
+        label[i] = names[0]
+        if len(names) > 1:
+            label[np.isin(label, names)] = names[0]
+    return out
+
+
 def fingerprints(docs: DataFrame, n_keys: int = N_KEYS) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, keys): node is the hash of the whole set, null for an empty one."""
+    """(doc_id, text_hash, n_shingles, node, point, keys): node is the hash of the whole set, null for an empty one."""
     held: list[Shingler] = []
 
     def run(batch: pa.RecordBatch) -> dict:
         shingler = held[0] if held else held.append(Shingler()) or held[0]
-        sizes, nodes, keys = [], [], []
+        sizes, nodes, points, keys = [], [], [], []
         for text in batch.column(batch.schema.get_field_index("text")):
             shingles = shingler.set_of(text.as_py())
             sizes.append(len(shingles))
             nodes.append(node_of(shingles))
+            points.append(count_vector(shingles).astype("<u4").tobytes())
             keys.append(block_keys(shingles, n_keys))
-        return {"n_shingles": sizes, "node": nodes, "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"n_shingles": sizes, "node": nodes, "point": points, "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return with_columns(docs.select("doc_id", "text", text_hash()), [field("n_shingles", "long"), field("node", "long"), field("keys", "array<long>")], run).drop("text")
+    made = [field("n_shingles", "long"), field("node", "long"), field("point", "binary"), field("keys", "array<long>")]
+    return with_columns(docs.select("doc_id", "text", text_hash()), made, run).drop("text")
 
 
 def text_hash() -> Column:
@@ -239,13 +278,13 @@ def node_of(shingles: np.ndarray) -> int | None:
     return h - (1 << 64) if h >> 63 else h
 
 
-def jaccard_components(docs: DataFrame, *, n_keys: int = N_KEYS, cap: int = CAP) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, n_keys: int = N_KEYS, cap: int = CAP, block_cap: int = BLOCK_CAP, unit_cap: int = UNIT_CAP) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     prints = written(spark, fingerprints(docs, n_keys), "prints")
     nodes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    roots = _roots(spark, docs, prints, nodes, cap)
+    roots = _roots(spark, docs, prints, cap, block_cap, unit_cap)
     names = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = names.join(least, "root").select("node", "component_id")
@@ -253,24 +292,51 @@ def jaccard_components(docs: DataFrame, *, n_keys: int = N_KEYS, cap: int = CAP)
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _roots(spark: SparkSession, docs: DataFrame, prints: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
+def _roots(spark: SparkSession, docs: DataFrame, prints: DataFrame, cap: int, block_cap: int, unit_cap: int) -> DataFrame:
     """(node, root) of the nodes that are linked to another."""
     firsts = prints.where("size(keys) > 0").groupBy("node").agg(F.first("keys").alias("keys"))  # equal sets have equal keys
     keyed = written(spark, firsts.select("node", F.explode("keys").alias("key")), "keyed")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    met = written(spark, keyed.join(hubs, "key").select("key", "node", "hub"), "met")
-    loose = met.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
-    loose = written(spark, loose, "loose")
-    clusters = components(spark, loose)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(spark, keyed.join(shared, "key"), "met")
+    points = prints.select("node", "point").join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("point").alias("point"))
+    forest = written(spark, _forest(met.join(points, "node"), block_cap).groupBy("a", "b").agg(F.max("bound").alias("bound")), "forest")
+    clusters = components(spark, forest)
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     clustered = written(spark, clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "size"), "clusters")
     sets = written(spark, _sets(docs, prints, clustered), "sets")
     small = _local(sets.where(F.col("size") <= cap).select("node", "cluster", "set"))
-    large = clustered.where(F.col("size") > cap).select("node")
-    if large.isEmpty():
+    if sets.where(F.col("size") > cap).isEmpty():
         return components(spark, small)
-    big = sets.where(F.col("size") > cap).select("node", "set")
-    return components(spark, small.unionByName(_large(spark, big, large, met, loose, cap)))
+    large = _large(spark, sets.where(F.col("size") > cap), met, forest, cap, unit_cap)
+    return components(spark, small.unionByName(large))
+
+
+def _forest(blocks: DataFrame, block_cap: int) -> DataFrame:
+    """(a, b, bound) of every block (key, n, node, point)."""
+    chunks = F.when(F.col("n") <= block_cap, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / block_cap)).cast("int")
+    placed = blocks.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least("chunk", j), F.greatest("chunk", j)))
+    tasks = placed.select("node", "point", F.explode(others).alias("task"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, float]] = []
+        for _, rows in _runs(batches):
+            if len(rows) > 1:
+                found = survivors_forest(np.array([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64))
+                out += [(rows[i][0], rows[j][0], bound) for i, j, bound in found]
+            if len(out) > 4096:
+                yield _weighted(out)
+                out = []
+        if out:
+            yield _weighted(out)
+
+    ordered = tasks.select("task", "node", "point").repartition("task").sortWithinPartitions("task", "node")
+    return ordered.mapInArrow(run, T.StructType([*LINKS.fields, field("bound", "double")]))
+
+
+def _weighted(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bound"])
 
 
 def _sets(docs: DataFrame, prints: DataFrame, clustered: DataFrame) -> DataFrame:
@@ -324,10 +390,14 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _large(spark: SparkSession, sets: DataFrame, nodes: DataFrame, met: DataFrame, loose: DataFrame, cap: int) -> DataFrame:
-    """Links (a, b) that give the components of large clusters; sets: (node, set)."""
-    best = loose.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    pairs = best.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+def _large(spark: SparkSession, sets: DataFrame, met: DataFrame, forest: DataFrame, cap: int, unit_cap: int) -> DataFrame:
+    """Links (a, b) that give the components of large clusters; sets: (node, cluster, size, set)."""
+    nodes = written(spark, sets.select("node", "cluster", "size"), "large")
+    sets = sets.select("node", "set")
+    both = forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"), "bound")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("bound"), "b"))
+    pairs = both.withColumn("k", best).where(F.col("k") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,21 +405,23 @@ def _large(spark: SparkSession, sets: DataFrame, nodes: DataFrame, met: DataFram
             yield _links([(x, y) for x, y, s, t in zip(a, b, set_a, set_b, strict=True) if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64))])
 
     stars = written(spark, pairs.mapInArrow(verify, LINKS), "stars")
-    comps = written(spark, nodes.join(components(spark, stars), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "comps")
-
-    blocks = met.select("key", "node").join(comps, "node")
-    parts = blocks.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    mixed = mixed.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / cap).cast("int").alias("n_major"), F.ceil((F.col("n") - F.col("top.n")) / cap).cast("int").alias("n_minor"))
-    rows = blocks.join(mixed, "key").withColumn("asks", F.col("comp") != F.col("major"))
+    comps = written(spark, nodes.join(components(spark, stars), "node", "left").select("node", "cluster", "size", F.coalesce("root", "node").alias("comp")), "comps")
+
+    whole = comps.where(F.col("size") <= unit_cap).select(F.col("cluster").alias("unit"), "node", "comp")
+    by_key = met.select(F.col("key").alias("unit"), "node").join(comps.where(F.col("size") > unit_cap).select("node", "comp"), "node")
+    units = whole.unionByName(by_key.select("unit", "node", "comp"))
+    parts = units.groupBy("unit", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("unit").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    mixed = mixed.select("unit", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / cap).cast("int").alias("n_major"), F.ceil((F.col("n") - F.col("top.n")) / cap).cast("int").alias("n_minor"))
+    rows = units.join(mixed, "unit").withColumn("asks", F.col("comp") != F.col("major"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("n_minor")).otherwise(F.col("n_major"))).cast("int"))
-    # A task is (key, minor chunk, kind of the other chunk, other chunk); minor chunks also meet each other.
+    # A task is (unit, minor chunk, kind of the other chunk, other chunk); minor chunks also meet each other.
     tasks = F.when(F.col("asks"), F.expr(
         "concat(transform(sequence(0, n_major - 1), j -> struct(chunk AS i, 0 AS kind, j AS j)),"
         " transform(sequence(0, n_minor - 1), j -> struct(least(chunk, j) AS i, 1 AS kind, greatest(chunk, j) AS j)))"
     )).otherwise(F.expr("transform(sequence(0, n_minor - 1), i -> struct(i AS i, 0 AS kind, chunk AS j))"))
-    spread = rows.select("node", "comp", "asks", "key", F.explode(tasks).alias("t"))
-    keyed = spread.select("node", "comp", "asks", F.xxhash64("key", "t.i", "t.kind", "t.j").alias("task"))
+    spread = rows.select("node", "comp", "asks", "unit", F.explode(tasks).alias("t"))
+    keyed = spread.select("node", "comp", "asks", F.xxhash64("unit", "t.i", "t.kind", "t.j").alias("task"))
     shipped = keyed.join(sets, "node").select("task", "node", "comp", "asks", "set").repartition("task").sortWithinPartitions("task", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,5 +455,20 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
 QUERIES = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_ngram_jaccard_join": ORACLE}
