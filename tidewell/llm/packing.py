@@ -15,7 +15,8 @@ document's ids and one open window a tier.  sequence_id and step_group hold the
 bits above 36.  The input must give the same partitions when a task is run again; a
 scan of stored files does (write other inputs first, as the pipeline's stages are).
 
-Defined cases: a null or empty text is the end id alone; equal rows are packed each; any length of text works.
+Defined cases: a null or empty text is the end id alone; equal rows are packed each; any length of text works; the string of a special
+token in a text is ordinary text.
 """
 
 from __future__ import annotations
