@@ -11,22 +11,27 @@ from tidewell.llm.common import written
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): root is the smallest node of its component.
 
-    Each round takes the least label among a node and its neighbours, then jumps twice along the
-    labels, so that long chains shorten exponentially.  Rounds are written to the shared folder; nothing is
-    collected but whether a label changed.  A node with very many edges is folded before each shuffle.
+    Each round points every node to the least of itself and its neighbours, follows the pointers twice, and then
+    replaces the edges' ends by their roots: edges inside a component vanish, so each round's graph is a fraction of the one
+    before.  Rounds are written to the shared folder; nothing is collected but whether edges are left.  A node
+    with very many edges is folded before each shuffle.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    both = written(spark, pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(spark, both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")), "labels")
+    graph = written(spark, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        # The root of a label is a smaller label yet, or itself.
-        hooked = written(spark, hooked, "hooked")
-        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = hooked.join(jump, "root").select("node", "old", F.col("next").alias("root"))
-        moved = written(spark, jumped.join(jump, "root").select("node", "old", F.col("next").alias("root")), "labels")
-        changed = moved.where("old <> root").limit(1).count()
-        labels = moved.select("node", "root")
-        if not changed:
+        ends = graph.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(graph.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        hooked = written(spark, ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("up")), "hooked")
+        jump = hooked.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        once = hooked.join(jump, "up").select("node", F.col("next").alias("up"))
+        moved = written(spark, once.join(jump, "up").select("node", F.col("next").alias("root")), "moved")
+        if labels is None:
+            labels = moved
+        else:  # a root that has no edge any more stays
+            onward = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = written(spark, labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        left, right = moved.select(F.col("node").alias("a"), F.col("root").alias("ra")), moved.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        rest = graph.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        graph = written(spark, rest.distinct(), "edges")
+        if graph.isEmpty():
             return labels
