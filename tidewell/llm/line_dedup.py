@@ -10,9 +10,10 @@ lines are dropped, but for the first (smallest doc_id, then place), so that no t
 
 Distributed form: equal lines are folded to fixed-width counts before the first shuffle, so a line
 that is in a third of all documents is one row of its leaf.  Words are needed only of the lines of leaves with
-two distinct lines or more; those are parsed leaf by leaf in sorted partitions.  A leaf of more than MAX_LEAF distinct lines is
-split by the path's next levels (DEEPER); what is still too large at the last is parsed in slices of about
-MAX_LEAF lines, so that no task's memory grows with a leaf.  Lines are told apart by two 64-bit hashes.
+two distinct lines or more; those are parsed leaf by leaf in sorted partitions, line by line, so that a task holds templates and no lines.
+A line and the founding line of its template share a block of positions (`blocks_of`), so a leaf of more than MAX_LEAF
+distinct lines is split into the components of lines that share blocks: what could meet in the whole leaf meets
+there, in the same order, and the drops are the same at any MAX_LEAF.  Lines are told apart by two 64-bit hashes.
 Drops travel as (doc_id, text hash, places) and meet the documents in one join.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows that are equal in doc_id and text are one
@@ -22,8 +23,11 @@ keeps an empty text.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.common import field, read, written
+from tidewell.llm.components import components
 
 LEVELS = 3
-#: Leading words that split a leaf of more than MAX_LEAF distinct lines, level by level.
-DEEPER = (6, 12, 24)
 SIMILARITY = 0.8
 MIN_WORDS = 5
+#: Distinct lines above which a leaf is split for parallelism; it has no bearing on the result.
 MAX_LEAF = 2_000
 #: Rows up to which a counted table is broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST = 2_000_000
@@ -44,37 +48,41 @@ _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
 
 
-def parse_leaf(lines: list[tuple], similarity: float = SIMILARITY) -> list[int]:
+def blocks_of(n_words: int, similarity: float) -> list[tuple[int, int]]:
+    """The positions behind the path, cut into one block more than the positions in which a line may differ from its template.
+
+    So a line agrees with the founding line of its template in one whole block at least.
+    """
+    parts, start = n_words - math.ceil(similarity * n_words) + 1, min(LEVELS, n_words)
+    return list(pairwise(start + (n_words - start) * i // parts for i in range(parts + 1)))
+
+
+class Leaf:
+    """The templates of a leaf, in the order in which lines found them; its memory grows with the templates, not with the lines."""
+
+    def __init__(self, n_words: int, similarity: float = SIMILARITY):
+        self.need, self.blocks = similarity * n_words, blocks_of(n_words, similarity)
+        self.templates: list[list[str]] = []
+        self.founded: dict[tuple, list[int]] = {}  # a block's words: the templates whose founding line has them there
+
+    def add(self, words: list[str]) -> int:
+        """The number of the first template that agrees with the line, or of the one that it founds."""
+        keys = [(begin, *words[begin:end]) for begin, end in self.blocks]
+        for k in sorted({k for key in keys for k in self.founded.get(key, ())}):
+            same = sum(a == b and a is not VARIABLE for a, b in zip(self.templates[k], words, strict=True))
+            if same >= self.need:
+                self.templates[k] = [a if a == b else VARIABLE for a, b in zip(self.templates[k], words, strict=True)]
+                return k
+        for key in keys:
+            self.founded.setdefault(key, []).append(len(self.templates))
+        self.templates.append(list(words))
+        return len(self.templates) - 1
+
+
+def parse_leaf(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
     """The template number of each line of a leaf; lines: lists of as many words each, in a fixed order."""
-    templates: list[list[str]] = []
-    by_word: list[dict[str, list[int]]] = []  # for each position: the templates that began with this word there
-    out = []
-    for words in lines:
-        need = similarity * len(words)
-        votes: dict[int, int] = {}
-        for at, word in enumerate(words):
-            if word is not VARIABLE and at < len(by_word):
-                for k in by_word[at].get(word, ()):
-                    votes[k] = votes.get(k, 0) + 1
-        best = None
-        for k in sorted(votes):
-            if votes[k] >= need:
-                same = sum(a == b and a is not VARIABLE for a, b in zip(templates[k], words, strict=True))
-                if same >= need:
-                    best = k
-                    break
-        if best is None:
-            best = len(templates)
-            templates.append(list(words))
-            while len(by_word) < len(words):
-                by_word.append({})
-            for at, word in enumerate(words):
-                if word is not VARIABLE:
-                    by_word[at].setdefault(word, []).append(best)
-        else:
-            templates[best] = [a if a == b else VARIABLE for a, b in zip(templates[best], words, strict=True)]
-        out.append(best)
-    return out
+    leaf = Leaf(len(lines[0]) if lines else 0, similarity)
+    return [leaf.add(words) for words in lines]
 
 
 def _words_of(line: str) -> list[str]:
@@ -86,13 +94,13 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     counted = lines.withColumn("n_words", F.size(F.split(F.trim("line"), r"\s+"))).where(F.col("n_words") >= min_words)
-    return counted.withColumn("line_hash", F.xxhash64("line")).withColumn("leaf", _leaf(LEVELS))
+    return counted.withColumn("line_hash", F.xxhash64("line")).withColumn("leaf", _leaf())
 
 
-def _leaf(depth: int) -> Column:
-    """The path of a line: its word count and that many leading words, variable ones masked."""
-    lead = F.regexp_extract("line", rf"^\s*(\S+(?:\s+\S+){{0,{depth - 1}}})", 1)
-    return F.xxhash64("n_words", F.lit(depth), F.regexp_replace(lead, r"\S*[0-9]\S*", VARIABLE))
+def _leaf() -> Column:
+    """The path of a line: its word count and its leading words, variable ones masked."""
+    lead = F.regexp_extract("line", rf"^\s*(\S+(?:\s+\S+){{0,{LEVELS - 1}}})", 1)
+    return F.xxhash64("n_words", F.regexp_replace(lead, r"\S*[0-9]\S*", VARIABLE))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -107,47 +115,49 @@ def small_enough(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def templates_of(crowd: DataFrame, similarity: float = SIMILARITY, max_leaf: int = MAX_LEAF) -> DataFrame:
-    """(line_hash, leaf, template) of the lines (line_hash, leaf, n_words, line) of leaves with several; template: a hash that its lines share."""
-    rest, done = crowd.withColumn("own", F.col("leaf")), None
-    for depth in DEEPER:
-        sized = rest.join(rest.groupBy("own").agg(F.count("*").alias("size")).where(F.col("size") > max_leaf), "own", "left")
-        fit = sized.where("size IS NULL").drop("size")
-        done = fit if done is None else done.unionByName(fit)
-        rest = sized.where("size IS NOT NULL").drop("size")
-        if rest.isEmpty():
-            rest = None
-            break
-        rest = rest.withColumn("own", _leaf(depth))
-    if rest is not None:  # the last level: leaves of any size, in slices
-        sizes = rest.groupBy("own").agg(F.count("*").alias("size"))
-        sliced = rest.join(sizes, "own").withColumn("own", F.xxhash64("own", F.pmod("line_hash", F.ceil(F.col("size") / max_leaf)))).drop("size")
-        done = done.unionByName(sliced)
+def block_edges(crowd: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): line hashes that share a block of words; a line and the template that it joins are never in different components of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, leaf = [], [], None  # the lines of one leaf
+        for batch in batches:
+            nodes, keys = [], []
+            for line_hash, leaf, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = _words_of(line)
+                for begin, end in blocks_of(len(words), similarity):
+                    nodes.append(line_hash)
+                    keys.append(int.from_bytes(hashlib.blake2b("\n".join([f"{leaf} {begin}", *words[begin:end]]).encode(), digest_size=8).digest(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], names=["b", "key"])
 
-        def closed() -> list[int]:
-            firsts: dict[int, int] = {}
-            return [firsts.setdefault(k, h) for k, (h, _) in zip(parse_leaf(words, similarity), held, strict=True)]
+    keys = crowd.select("line_hash", "leaf", "line").mapInArrow(run, T.StructType([field(n, "long") for n in ("b", "key")]))
+    keys = written(crowd.sparkSession, keys, "blocks")
+    shared = keys.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("key", "a")
+    return keys.join(shared, "key").select("a", "b")
 
-        def batch_of(rows: list, templates: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(templates, pa.int64())], names=["line_hash", "leaf", "template"])
 
+def templates_of(crowd: DataFrame, similarity: float = SIMILARITY, max_leaf: int = MAX_LEAF) -> DataFrame:
+    """(line_hash, leaf, template) of the lines (line_hash, leaf, line) of leaves with several; template: the hash of the line that founded it."""
+    over = crowd.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > max_leaf).select("leaf")
+    done = crowd.withColumn("own", F.col("leaf"))
+    if not over.isEmpty():
+        over = small_enough(over, MAX_BROADCAST)
+        large = crowd.join(over, "leaf", "left_semi")
+        roots = components(crowd.sparkSession, block_edges(large, similarity)).select(F.col("node").alias("line_hash"), "root")
+        parts = large.join(roots, "line_hash", "left").withColumn("own", F.coalesce("root", "line_hash")).drop("root")
+        done = done.join(over, "leaf", "left_anti").unionByName(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaf, founders = None, None, []
         for batch in batches:
-            out, templates = [], []
-            for own, line_hash, path, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != leaf and held:
-                    templates += closed()
-                    out += held
-                    held, words = [], []
-                leaf = own
-                held.append((line_hash, path))
-                words.append(_words_of(line))
-            if out:
-                yield batch_of(out, templates)
-        if held:
-            yield batch_of(held, closed())
+            templates = []
+            for own, line_hash, line in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                words = _words_of(line)
+                if own != at:
+                    at, leaf, founders = own, Leaf(len(words), similarity), []
+                k = leaf.add(words)
+                if k == len(founders):
+                    founders.append(line_hash)
+                templates.append(founders[k])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(templates, pa.int64())], names=["line_hash", "leaf", "template"])
 
     ordered = done.select("own", "line_hash", "leaf", "line").repartition("own").sortWithinPartitions("own", "line_hash")
     return ordered.mapInArrow(run, T.StructType([field(n, "long") for n in ("line_hash", "leaf", "template")]))
@@ -158,7 +168,7 @@ def recurring(docs: DataFrame, *, similarity: float = SIMILARITY, min_words: int
     spark, lines = docs.sparkSession, occurrences(docs, min_words)
     distinct = written(spark, distinct_lines(lines), "lines")
     crowded = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    crowd = lines.join(small_enough(crowded, MAX_BROADCAST), "leaf", "left_semi").select("line_hash", "leaf", "n_words", "line").dropDuplicates(["line_hash", "leaf"])
+    crowd = lines.join(small_enough(crowded, MAX_BROADCAST), "leaf", "left_semi").select("line_hash", "leaf", "line").dropDuplicates(["line_hash", "leaf"])
     parsed = written(spark, templates_of(written(spark, crowd, "crowd"), similarity, max_leaf), "templates")
     known = distinct.join(parsed, ["line_hash", "leaf"], "left").withColumn("template", F.coalesce("template", "line_hash"))
     ids = [F.min("low").alias("t_low"), F.max("high").alias("t_high"), F.max("no_id").alias("t_no_id")]
