@@ -3,8 +3,8 @@
 Lines are cut into words; words with a digit are variable fields.  A line's path in the tree is its
 word count and its LEVELS leading words (variable ones as `<*>`).  Lines below one path
 form a leaf; there a line joins the first template that agrees with it in a share SIMILARITY of
-its positions, and the positions that differ become variable, as long as the template
-keeps that share of fixed words.  A template that occurs in two documents or more recurs: its
+its positions, where two variable fields agree, and in fixed words in a share LEAST_FIXED, so that rows of numbers aren't
+taken for one another.  Positions that differ become open and agree with nothing, so a template keeps those shares.  A template that occurs in two documents or more recurs: its
 lines are dropped, but for the first (smallest doc_id, then place), so that no text leaves the corpus altogether
 (`keep_first=False` drops that one too).  Lines of fewer than MIN_WORDS words are never dropped.
 
@@ -39,6 +39,8 @@ from tidewell.llm.components import components
 
 LEVELS = 3
 SIMILARITY = 0.8
+#: Share of a line's words that must be fixed words of its template.
+LEAST_FIXED = 0.5
 MIN_WORDS = 5
 #: Distinct lines above which a leaf is split for parallelism; it has no bearing on the result.
 MAX_LEAF = 2_000
@@ -61,17 +63,18 @@ class Leaf:
     """The templates of a leaf, in the order in which lines found them; its memory grows with the templates, not with the lines."""
 
     def __init__(self, n_words: int, similarity: float = SIMILARITY):
-        self.need, self.blocks = similarity * n_words, blocks_of(n_words, similarity)
-        self.templates: list[list[str]] = []
+        self.need, self.fixed, self.blocks = similarity * n_words, LEAST_FIXED * n_words, blocks_of(n_words, similarity)
+        self.templates: list[list[str | None]] = []  # None: an open position
         self.founded: dict[tuple, list[int]] = {}  # a block's words: the templates whose founding line has them there
 
     def add(self, words: list[str]) -> int:
         """The number of the first template that agrees with the line, or of the one that it founds."""
         keys = [(begin, *words[begin:end]) for begin, end in self.blocks]
         for k in sorted({k for key in keys for k in self.founded.get(key, ())}):
-            same = sum(a == b and a is not VARIABLE for a, b in zip(self.templates[k], words, strict=True))
-            if same >= self.need:
-                self.templates[k] = [a if a == b else VARIABLE for a, b in zip(self.templates[k], words, strict=True)]
+            both = [a if a == b else None for a, b in zip(self.templates[k], words, strict=True)]
+            same = len(both) - both.count(None)
+            if same >= self.need and same - both.count(VARIABLE) >= self.fixed:
+                self.templates[k] = both
                 return k
         for key in keys:
             self.founded.setdefault(key, []).append(len(self.templates))
