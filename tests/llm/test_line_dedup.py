@@ -63,3 +63,16 @@ def test_lines_with_several_numbers_recur(spark):
     got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got[1] == data[0][1].split("\n")
     assert all(got[i] == data[i - 1][1].split("\n")[2:] for i in range(2, 6))
+
+
+def test_one_rule_of_white_space(spark):
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace() and c != "\n"]
+    lines = ["see the terms of use", "see the terms of use today", "see the terms of use\r", "\tsee the terms of use", "see\u00a0the terms of use", "four words are few\r", "\u0663 the terms of use"]
+    lines += [f"{c}see{c}{c}the terms of use{c}" for c in spaces] + [f"a{c}b" for c in spaces] + ["", " ", "x" * 9_000]
+    docs = [(i, line) for i, line in enumerate(lines)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = {r["doc_id"]: r["n_words"] for r in line_dedup.occurrences(frame, 0).collect()}
+    assert counts == {i: len(line_dedup._words_of(line)) for i, line in docs}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == brute_texts(docs)
+    assert got[0] == lines[0] and got[1] == lines[1] and got[2] == got[3] == got[4] == "" and got[5] == lines[5]

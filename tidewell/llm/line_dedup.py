@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree of fixed depth.
 
-Lines are cut into words; words with a digit are variable fields.  A line's path in the tree is its
+Lines are cut into words at any Unicode white space (SPACES); words with a digit are variable fields.  A line's path in the tree is its
 word count and its LEVELS leading words (variable ones as `<*>`).  Lines below one path
 form a leaf; there a line joins the first template that agrees with it in a share SIMILARITY of
 its positions, where two variable fields agree, and in fixed words in a share LEAST_FIXED, so that rows of numbers aren't
@@ -48,6 +48,8 @@ MAX_LEAF = 2_000
 MAX_BROADCAST = 2_000_000
 _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
+#: What str.split() takes for white space, for Java, whose \s is another set.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def blocks_of(n_words: int, similarity: float) -> list[tuple[int, int]]:
@@ -96,14 +98,20 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, doc_hash, place, line, n_words, line_hash, leaf) of every line that may be dropped."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    counted = lines.withColumn("n_words", F.size(F.split(F.trim("line"), r"\s+"))).where(F.col("n_words") >= min_words)
+    counted = lines.withColumn("n_words", F.size(_words())).where(F.col("n_words") >= min_words)
     return counted.withColumn("line_hash", F.xxhash64("line")).withColumn("leaf", _leaf())
 
 
+def _words() -> Column:
+    """The words of a line, as `_words_of` cuts them; split() is fast on a plain space, and compiles any other pattern for each row."""
+    plain = F.when(F.col("line").rlike("[^!-~ ]"), F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line"))
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def _leaf() -> Column:
     """The path of a line: its word count and its leading words, variable ones masked."""
-    lead = F.regexp_extract("line", rf"^\s*(\S+(?:\s+\S+){{0,{LEVELS - 1}}})", 1)
-    return F.xxhash64("n_words", F.regexp_replace(lead, r"\S*[0-9]\S*", VARIABLE))
+    lead = [F.get(_words(), F.lit(i)) for i in range(LEVELS)]
+    return F.xxhash64("n_words", *(F.when(w.rlike(r"\p{Nd}"), VARIABLE).otherwise(w) for w in lead))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
