@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, from spark.checkpoint.dir.
 
-    Only where that is unset (tests in one process) a temporary folder is made and set.
+    Only where that is unset on a local master (tests in one process) a temporary folder is made and set; a cluster
+    without the setting is refused, as its machines share no such folder.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -27,17 +29,47 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back."""
+def written(spark: SparkSession, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back; `released` removes what it wrote."""
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The folders that `written` made in this process and that are still there.
+_MADE: list[str] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables written inside the block; use it around an action whose result is stored elsewhere."""
+    start = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, _MADE[start:])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _MADE.remove(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{'_' * i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], dict[str, Iterable]]) -> DataFrame:
     """df with further columns made batch by batch.  A column of df with a clashing name is replaced.
 

@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree of fixed depth.
 
-Lines are cut into words at any Unicode white space (SPACES); words with a digit are variable fields.  A line's path in the tree is its
+Lines are cut into words at any Unicode white space, as str.split() does; words with a digit are variable fields.  A line's path in the tree is its
 word count and its LEVELS leading words (variable ones as `<*>`).  Lines below one path
 form a leaf; there a line joins the first template that agrees with it in a share SIMILARITY of
 its positions, where two variable fields agree, and in fixed words in a share LEAST_FIXED, so that rows of numbers aren't
@@ -8,17 +8,20 @@ taken for one another.  Positions that differ become open and agree with nothing
 lines are dropped, but for the first (smallest doc_id, then place), so that no text leaves the corpus altogether
 (`keep_first=False` drops that one too).  Lines of fewer than MIN_WORDS words are never dropped.
 
-Distributed form: equal lines are folded to fixed-width counts before the first shuffle, so a line
+Distributed form: one pass over the texts writes a row for each line (hash, path, the line itself), and all later steps read
+columns of that table.  Equal lines are folded to fixed-width counts before the first shuffle, so a line
 that is in a third of all documents is one row of its leaf.  Words are needed only of the lines of leaves with
 two distinct lines or more; those are parsed leaf by leaf in sorted partitions, line by line, so that a task holds templates and no lines.
 A line and the founding line of its template share a block of positions (`blocks_of`), so a leaf of more than MAX_LEAF
 distinct lines is split into the components of lines that share blocks: what could meet in the whole leaf meets
 there, in the same order, and the drops are the same at any MAX_LEAF.  Lines are told apart by two 64-bit hashes.
-Drops travel as (doc_id, text hash, places) and meet the documents in one join.
+A template's first document is known from the distinct lines; which of its places there comes first is found
+document by document, so nothing is ever grouped by template but the distinct lines.  Drops travel as
+(doc_id, text hash, places) and meet the documents in one join.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows that are equal in doc_id and text are one
-document and keep the same lines; all rows with a null doc_id count as one document, the last; a document that loses all its lines
-keeps an empty text.
+document and keep the same lines; rows that share a doc_id but not a text are one document when lines are counted, and each keeps its
+own first place; all rows with a null doc_id count as one document, the last; a document that loses all its lines keeps an empty text.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import re
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import field, read, written
+from tidewell.llm.common import field, read, unused, written
 from tidewell.llm.components import components
 
 LEVELS = 3
@@ -45,11 +50,11 @@ MIN_WORDS = 5
 #: Distinct lines above which a leaf is split for parallelism; it has no bearing on the result.
 MAX_LEAF = 2_000
 #: Rows up to which a counted table is broadcast; a larger one is joined by shuffle.
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
+#: Rows of an Arrow batch that a pass over the texts gives out.
+BATCH_ROWS = 16_384
 _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
-#: What str.split() takes for white space, for Java, whose \s is another set.
-SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def blocks_of(n_words: int, similarity: float) -> list[tuple[int, int]]:
@@ -95,23 +100,39 @@ def _words_of(line: str) -> list[str]:
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, doc_hash, place, line, n_words, line_hash, leaf) of every line that may be dropped."""
+    """(doc_id, doc_hash, place, line_hash, leaf, line) of every line that may be dropped; leaf: a hash of the line's path in the tree."""
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    counted = lines.withColumn("n_words", F.size(_words())).where(F.col("n_words") >= min_words)
-    return counted.withColumn("line_hash", F.xxhash64("line")).withColumn("leaf", _leaf())
+    rows = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), text.alias("text"))
 
-
-def _words() -> Column:
-    """The words of a line, as `_words_of` cuts them; split() is fast on a plain space, and compiles any other pattern for each row."""
-    plain = F.when(F.col("line").rlike("[^!-~ ]"), F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line"))
-    return F.array_remove(F.split(plain, " "), "")
-
-
-def _leaf() -> Column:
-    """The path of a line: its word count and its leading words, variable ones masked."""
-    lead = [F.get(_words(), F.lit(i)) for i in range(LEVELS)]
-    return F.xxhash64("n_words", *(F.when(w.rlike(r"\p{Nd}"), VARIABLE).otherwise(w) for w in lead))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, masked = xxhash.xxh64_intdigest, lambda w: VARIABLE if _DIGIT.search(w) else w
+        for batch in batches:
+            at, places, hashes, leaves, lines = [], [], [], [], []
+            for i, text in enumerate(batch.column(2)):
+                for place, line in enumerate(text.as_py().split("\n")):
+                    words = line.split()
+                    if len(words) < min_words:
+                        continue
+                    at.append(i)
+                    places.append(place)
+                    hashes.append(digest(line.encode("utf-8", "surrogatepass"), 42))
+                    leaves.append(digest("\n".join([str(len(words)), *map(masked, words[:LEVELS])]).encode("utf-8", "surrogatepass")))
+                    lines.append(line)
+                    if len(at) >= BATCH_ROWS:
+                        yield _line_rows(batch, at, places, hashes, leaves, lines)
+                        at, places, hashes, leaves, lines = [], [], [], [], []
+            if at:
+                yield _line_rows(batch, at, places, hashes, leaves, lines)
+
+    made = [field("doc_hash", "long"), field("place", "int"), field("line_hash", "long"), field("leaf", "long"), field("line", "string")]
+    return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *made]))
+
+
+def _line_rows(batch: pa.RecordBatch, at: list[int], places: list[int], hashes: list[int], leaves: list[int], lines: list[str]) -> pa.RecordBatch:
+    docs = pa.array(at, pa.int64())
+    numbers = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (hashes, leaves)]
+    columns = [batch.column(0).take(docs), batch.column(1).take(docs), pa.array(places, pa.int32()), *numbers, pa.array(lines, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_hash", "place", "line_hash", "leaf", "line"])
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -176,34 +197,38 @@ def templates_of(crowd: DataFrame, similarity: float = SIMILARITY, max_leaf: int
 
 def recurring(docs: DataFrame, *, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, keep_first: bool = True, max_leaf: int = MAX_LEAF) -> DataFrame:
     """(doc_id, doc_hash, places): the line numbers that each document loses."""
-    spark, lines = docs.sparkSession, occurrences(docs, min_words)
-    distinct = written(spark, distinct_lines(lines), "lines")
+    spark = docs.sparkSession
+    lines = written(spark, occurrences(docs, min_words), "lines", "zstd")
+    distinct = written(spark, distinct_lines(lines), "distinct")
     crowded = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
     crowd = lines.join(small_enough(crowded, MAX_BROADCAST), "leaf", "left_semi").select("line_hash", "leaf", "line").dropDuplicates(["line_hash", "leaf"])
     parsed = written(spark, templates_of(written(spark, crowd, "crowd"), similarity, max_leaf), "templates")
     known = distinct.join(parsed, ["line_hash", "leaf"], "left").withColumn("template", F.coalesce("template", "line_hash"))
-    ids = [F.min("low").alias("t_low"), F.max("high").alias("t_high"), F.max("no_id").alias("t_no_id")]
-    again = known.groupBy("template").agg(*ids).where("t_low <> t_high OR (t_no_id = 1 AND t_low IS NOT NULL)").select("template")
-    gone = known.join(again, "template").select("line_hash", "leaf", "template")
-    places = lines.select("doc_id", "doc_hash", "place", "line_hash", "leaf").join(gone, ["line_hash", "leaf"]).select("doc_id", "doc_hash", "place", "template")
-    if keep_first:
-        places = written(spark, places, "places")
-        first = places.groupBy("template").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")).alias("keep"))
-        kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("place") == F.col("keep.place"))
-        places = places.join(first, "template").where(~kept)
-    return places.groupBy("doc_id", "doc_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    ids = [F.min("low").alias("first"), F.max("high").alias("last"), F.max("no_id").alias("any_null")]
+    again = known.groupBy("template").agg(*ids).where("first <> last OR (any_null = 1 AND first IS NOT NULL)").select("template", "first")
+    gone = written(spark, known.select("line_hash", "leaf", "template").join(again, "template"), "gone")
+    places = lines.select("doc_id", "doc_hash", "place", "line_hash", "leaf").join(small_enough(gone, MAX_BROADCAST), ["line_hash", "leaf"])
+    # One shuffle, by document: the templates of a document, then the document.
+    owned = places.select("doc_id", "doc_hash", "place", "template", F.col("doc_id").eqNullSafe(F.col("first")).alias("is_first")).repartition("doc_id", "doc_hash")
+    found = owned.groupBy("doc_id", "doc_hash", "template").agg(F.min("place").alias("least"), F.collect_set("place").alias("places"), F.max("is_first").alias("is_first"))
+    lost = F.when(F.col("is_first"), F.array_remove("places", F.col("least"))).otherwise(F.col("places")) if keep_first else F.col("places")
+    folded = found.groupBy("doc_id", "doc_hash").agg(F.sort_array(F.flatten(F.collect_list(lost))).alias("places"))
+    return folded.where(F.size("places") > 0)
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the recurring lines cut out of text, and n_dropped; other columns stay (n_dropped is replaced)."""
     lost = written(docs.sparkSession, recurring(docs.select("doc_id", "text"), **options), "drops")
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), F.col("places").alias("_places"))
-    own = docs.drop("n_dropped").withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = own.join(small_enough(lost, MAX_BROADCAST // 4), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_places", i))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    dropped = F.when(F.col("_places").isNull(), F.lit(0)).otherwise(F.size("_places")).cast("long")
-    return joined.withColumn("n_dropped", dropped).withColumn("text", text).drop("_own", "_id", "_hash", "_places")
+    size = lost.agg(F.count("*").alias("rows"), F.sum(F.size("places")).alias("places")).first()
+    own, dropped, places = (unused(docs, n) for n in ("own", "dropped", "places"))
+    lost = lost.select(F.col("doc_id").alias(dropped), F.col("doc_hash").alias(own), F.col("places").alias(places))
+    lost = F.broadcast(lost) if size["rows"] + (size["places"] or 0) <= MAX_BROADCAST else lost
+    kept = docs.drop("n_dropped")
+    joined = kept.join(lost, F.col("doc_id").eqNullSafe(F.col(dropped)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own)), "left")
+    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(places, i))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    n = F.when(F.col(places).isNull(), F.lit(0)).otherwise(F.size(places)).cast("long")
+    return joined.withColumn("n_dropped", n).withColumn("text", text).drop(dropped, own, places)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
