@@ -161,6 +161,29 @@ def test_quality_on_held_out_labels(spark):
     assert auc > 0.98 and got.score.between(0, 1).all()
 
 
+def test_word_ngrams_by_brute_force():
+    import re
+
+    def index(*hashes):
+        h = hashes[0]
+        for x in hashes[1:]:
+            h = (h * 0xC2B2AE3D27D4EB4F + x) % 2**64
+        return h * 0x9E3779B97F4A7C15 % 2**64 >> 64 - quality.BITS
+
+    for text in ("", None, "one", "a a", "a, b, b! b! The THE 12 " * 3, "x" * 50_000 + " x x y x", "\u0663\u0301 z_z"):
+        words = re.findall(r"\w+|[^\w\s]+", text or "")
+        plain = [xxhash.xxh64_intdigest(w.encode(), 1) for w in words]
+        h = [int(quality.AGAIN[0]) if i and words[i - 1] == w else int(quality.AGAIN[1]) if i > 1 and words[i - 2] == w else plain[i] for i, w in enumerate(words)]
+        got = quality.Features(cache_entries=3).of(text)
+        assert [k.tolist() for k in got] == [[index(x) for x in h], [index(*h[i : i + 2]) for i in range(len(h) - 1)]]
+
+
+def test_no_stage_trains_on_all_documents_in_one_task(spark):
+    docs = spark.range(4000).repartition(8).select(F.col("id").alias("doc_id"), F.lit("good words here").alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert np.array_equal(quality.train(docs, labels, max_train=50, bits=8), quality.train(docs.coalesce(1), labels, max_train=50, bits=8))
+
+
 def test_quality_without_labels(spark):
     docs = odd(spark)
     weights = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -222,7 +245,7 @@ def test_templates_fold_variable_fields(spark):
     data = [(1, line.format("u1") + "\nonly one here please now"), (2, line.format("u2") + "\nsomething else that is unique"), (3, "user root logged in from host alpha at night"), (4, "a b")]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     for most in (2_000, 1):
-        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, max_leaf=2_000).collect()}
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, max_leaf=most).collect()}
         assert got[1] == data[0][1] and got[2] == "something else that is unique" and got[4] == "a b", most
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, keep_first=False).collect()}[1] == "only one here please now"
 

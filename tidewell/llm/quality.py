@@ -1,13 +1,13 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader updates.
 
-Words are white-space separated.  Each gives a hash of itself and of its shape (case pattern and
-punctuation, runs folded), and a text's features are the hashed word 1- and 2-grams and shape 1- to
-3-grams, in one space of 2**BITS weights.  A feature's value is its share among the text's n-grams of its
-kind, so a score doesn't depend on length; an empty text has the bias alone.
+Words are runs of letters and digits, as they are written (case is kept), and runs of other signs; a word that repeats the
+one before it, or the one before that, is the word AGAIN[0] or AGAIN[1] instead, so that n-grams of repetition are the same for
+all words.  A text's features are its hashed word 1- and 2-grams (ORDERS), in one space of 2**BITS weights.  A feature's value is its share among the text's
+n-grams of its order, so a score doesn't depend on length; an empty text has the bias alone.
 
 Training is FTRL-proximal (per-coordinate rates, L1 and L2) over a bounded sample: the MAX_TRAIN labelled
-rows with the smallest hash of their id.  The bound is a parameter; the sample is made
-of features by all tasks and one task makes the updates, in hash order, so that the model doesn't depend on how the table is
+rows with the smallest hash of their id.  The bound is a parameter; all tasks scan and make features, only the sample's features
+move to the one task that makes the updates, in hash order, so that the model doesn't depend on how the table is
 stored.  The model (at most 2**BITS weights) is the only thing collected.  Scoring is a
 sparse dot product per whole text, in Arrow batches without a shuffle.
 
@@ -30,26 +30,17 @@ from pyspark.sql import types as T
 
 from tidewell.llm.common import field, read, with_columns
 
-BITS = 18
+BITS = 20
 MAX_TRAIN = 12_000
 EPOCHS = 3
 THRESHOLD = 0.3
 CACHE_ENTRIES = 300_000
-#: Weight of each kind's share: word 1-grams, word 2-grams, shape 1-, 2- and 3-grams.
-SCALE = np.array([4.0, 2.0, 16.0, 16.0, 8.0])
-_UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+")
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
-
-def shape(word: str) -> str:
-    """Case pattern and punctuation of a word, runs folded: `THE!!` is `A!!`, `Then,` is `Aa,`."""
-    out, last = [], ""
-    for c in word[:64]:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if kind != last or kind not in "Aa0":
-            out.append(kind)
-        last = kind
-    return "".join(out[:12])
+#: Weight of the share of each order of n-grams; its length is the greatest order.
+ORDERS = (16.0, 8.0)
+_WORD = re.compile(r"\w+|[^\w\s]+")
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Hashes of the words that stand for a repetition one and two words back.
+AGAIN = tuple(np.uint64(xxhash.xxh64_intdigest(bytes([i]), 2)) for i in (1, 2))
 
 
 class Features:
@@ -58,46 +49,33 @@ class Features:
     def __init__(self, bits: int = BITS, cache_entries: int = CACHE_ENTRIES):
         self.shift = np.uint64(64 - bits)
         self.cache_entries = cache_entries
-        self._reset()
-
-    def _reset(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.hashes = np.zeros((2, 1024), np.uint64)
+        self.hashes: dict[str, int] = {}
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        known = self.ids
+    def of(self, text: str | None) -> list[np.ndarray]:
+        """An array of indexes for each order of n-grams."""
+        words = _WORD.findall(text or "")
+        known = self.hashes
         if len(known) + len(words) > self.cache_entries:
-            self._reset()
-            known = self.ids
+            known.clear()
         for word in set(words).difference(known):
-            at = known[word] = len(known)
-            if at == self.hashes.shape[1]:
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
-            self.hashes[0, at] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 1)
-            self.hashes[1, at] = xxhash.xxh64_intdigest(shape(word).encode("utf-8", "surrogatepass"), 2)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def of(self, text: str | None) -> list[np.ndarray]:
-        """An array of indexes for each kind of n-gram."""
-        words = (text or "").split()
-        if not words:
-            return [np.zeros(0, np.int64)] * 5
-        words_, shapes = self.hashes_of(words)
-        m1, m2, m3 = (np.uint64(m) for m in _MIX)
-        w2 = (words_[:-1] * m2 + words_[1:]) * m1
-        s2 = (shapes[:-1] * m2 + shapes[1:]) * m1
-        s3 = (s2[:-1] * m3 + shapes[2:]) * m1
-        return [(h >> self.shift).astype(np.int64) for h in (words_ * m1, w2, shapes * m1, s2, s3)]
-
-    def hashes_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._ids(words)
-        return self.hashes[0, ids], self.hashes[1, ids]
+            known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 1)
+        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        marked = hashes.copy()
+        for back in (2, 1):
+            marked[back:][hashes[back:] == hashes[: max(0, len(words) - back)]] = AGAIN[back - 1]
+        spread, step = (np.uint64(m) for m in _MIX)
+        grams, out = marked, []
+        for order in range(1, len(ORDERS) + 1):
+            if order > 1:
+                grams = grams[:-1] * step + marked[order - 1 :] if len(grams) else grams
+            out.append(((grams * spread) >> self.shift).astype(np.int64))
+        return out
 
     def sparse(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(indexes, values) with each index once."""
         kinds = self.of(text)
         index = np.concatenate(kinds)
-        value = np.concatenate([np.full(len(k), s / max(1, len(k))) for k, s in zip(kinds, SCALE, strict=True)])
+        value = np.concatenate([np.full(len(k), s / max(1, len(k))) for k, s in zip(kinds, ORDERS, strict=True)])
         index, place = np.unique(index, return_inverse=True)
         return index, np.bincount(place, value, len(index)) if len(index) else np.zeros(0)
 
@@ -155,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, epo
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["model"])
 
     kind = T.StructType([field("h", "long"), field("quality", "int"), field("index", "binary"), field("value", "binary")])
-    made = sample.mapInArrow(featurise, kind).coalesce(1).mapInArrow(learn, T.StructType([field("model", "binary")]))
+    # Only the sample moves, at most max_train rows.
+    made = sample.mapInArrow(featurise, kind).repartition(1).mapInArrow(learn, T.StructType([field("model", "binary")]))
     return np.frombuffer(made.first()["model"], "<f4")
 
 
@@ -172,7 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
         out = np.empty(batch.num_rows)
         for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col))):
             kinds = features.of(text.as_py())
-            out[i] = w[-1] + sum(s * w[k].mean() for k, s in zip(kinds, SCALE, strict=True) if len(k))
+            out[i] = w[-1] + sum(s * w[k].mean() for k, s in zip(kinds, ORDERS, strict=True) if len(k))
         return {"score": 1 / (1 + np.exp(-np.clip(out, -35, 35)))}
 
     return with_columns(docs, [field("score", "double")], run)
