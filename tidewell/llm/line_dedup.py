@@ -51,6 +51,8 @@ MIN_WORDS = 5
 MAX_LEAF = 2_000
 #: Rows up to which a counted table is broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST = 500_000
+#: Bytes of drops (two keys, a row's overhead and its places) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
+MAX_DROP_BYTES = 32 << 20
 #: Rows of an Arrow batch that a pass over the texts gives out.
 BATCH_ROWS = 16_384
 _DIGIT = re.compile(r"\d")
@@ -222,7 +224,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     size = lost.agg(F.count("*").alias("rows"), F.sum(F.size("places")).alias("places")).first()
     own, dropped, places = (unused(docs, n) for n in ("own", "dropped", "places"))
     lost = lost.select(F.col("doc_id").alias(dropped), F.col("doc_hash").alias(own), F.col("places").alias(places))
-    lost = F.broadcast(lost) if size["rows"] + (size["places"] or 0) <= MAX_BROADCAST else lost
+    lost = F.broadcast(lost) if 48 * size["rows"] + 4 * (size["places"] or 0) <= MAX_DROP_BYTES else lost
     kept = docs.drop("n_dropped")
     joined = kept.join(lost, F.col("doc_id").eqNullSafe(F.col(dropped)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own)), "left")
     lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(places, i))
