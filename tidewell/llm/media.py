@@ -6,8 +6,9 @@ target cell by an integral image (summed-area table) with bilinear reading at fr
 corners.  `difference_hash` compares neighbours of a (size + 1) x size tile.  `npy` gives a tile as NPY bytes.
 
 Work is per row, in Arrow batches, without a shuffle: memory is a batch of inputs and one image.
-Defined cases: null and empty texts are 64 zero bytes; broken image bytes raise ValueError in
-`decode`, and in `media_columns` give null in every derived column.
+A text is stored as binary PGM, from BMP_FROM payload bytes on as 8-bit grey BMP, so equal texts have equal images.
+Defined cases: null and empty texts are 64 zero bytes; null and broken image bytes raise ValueError in
+`decode`, and in `media_columns` and `image_digests` give null in every derived column.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from tidewell.llm.common import field, read, with_columns
 
 #: Bytes of an image row in which a text is stored; the payload is padded to a multiple of it.
 ROW = 64
+#: Payloads of so many bytes or more are stored as BMP, whose head of 1,078 bytes is then under 7 per cent.
+BMP_FROM = 16_384
+#: Side of the NPY tile of an image.
+TILE = 32
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -140,13 +145,18 @@ def difference_hash(samples: np.ndarray, size: int = 8) -> str:
     return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
 
 
+def tile_of(samples: np.ndarray, side: int = TILE) -> np.ndarray:
+    """A side x side uint8 tile."""
+    return np.clip(np.round(area_resize(samples, side, side)), 0, 255).astype(np.uint8)
+
+
 def npy(tile: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.save(out, tile, allow_pickle=False)
     return out.getvalue()
 
 
-def media_columns(df: DataFrame, image_col: str, tile: int = 32) -> DataFrame:
+def media_columns(df: DataFrame, image_col: str, tile: int = TILE) -> DataFrame:
     """df with height, width, channels, tile_npy (tile x tile uint8 NPY) and dhash of each image; null where it can't be read."""
 
     def derive(batch: pa.RecordBatch) -> dict:
@@ -154,8 +164,7 @@ def media_columns(df: DataFrame, image_col: str, tile: int = 32) -> DataFrame:
         for raw in batch.column(batch.schema.get_field_index(image_col)):
             try:
                 samples = decode(raw.as_py() or b"")
-                made = np.clip(np.round(area_resize(samples, tile, tile)), 0, 255).astype(np.uint8)
-                row = (samples.shape[0], samples.shape[1], samples.shape[2] if samples.ndim == 3 else 1, npy(made), difference_hash(samples))
+                row = (samples.shape[0], samples.shape[1], samples.shape[2] if samples.ndim == 3 else 1, npy(tile_of(samples, tile)), difference_hash(samples))
             except (ValueError, IndexError, struct.error):
                 row = (None,) * 5
             for values, value in zip(out.values(), row, strict=True):
@@ -167,16 +176,16 @@ def media_columns(df: DataFrame, image_col: str, tile: int = 32) -> DataFrame:
 
 
 def payload_image(text: str | None) -> tuple[bytes, int]:
-    """(PGM bytes, unpadded length) of a text: UTF-8 and zero bytes up to a positive multiple of ROW, ROW samples a row."""
+    """(image bytes, unpadded length) of a text: UTF-8 and zero bytes up to a positive multiple of ROW, ROW samples a row."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     rows = max(1, -(-len(raw) // ROW))
     samples = np.zeros(rows * ROW, np.uint8)
     samples[: len(raw)] = np.frombuffer(raw, np.uint8)
-    return encode_pgm(samples.reshape(rows, ROW)), len(raw)
+    return (encode_bmp if len(samples) >= BMP_FROM else encode_pgm)(samples.reshape(rows, ROW)), len(raw)
 
 
 def text_images(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with image (PGM bytes) and n_bytes of each whole text."""
+    """df with image (PGM or BMP bytes) and n_bytes of each whole text."""
 
     def make(batch: pa.RecordBatch) -> dict:
         made = [payload_image(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
@@ -186,20 +195,26 @@ def text_images(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def image_digests(df: DataFrame, image_col: str = "image") -> DataFrame:
-    """df with the digests of each stored image and of the payload read back from it, and its difference hash."""
+    """df with the digests of each stored image, of the payload read back from it and of its NPY tile, and its difference hash."""
+    kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "tile_sha256": "string"}
 
     def digest(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {n: [] for n in kinds}
         for raw in batch.column(batch.schema.get_field_index(image_col)):
             stored = raw.as_py()
-            samples = decode(stored)
-            payload = samples.tobytes()
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(samples))
+            try:
+                samples = decode(stored or b"")
+                payload = samples.tobytes()
+                row = (
+                    len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(),
+                    difference_hash(samples), hashlib.sha256(npy(tile_of(samples))).hexdigest(),
+                )
+            except (ValueError, IndexError, struct.error):
+                row = (None,) * len(kinds)
             for values, value in zip(out.values(), row, strict=True):
                 values.append(value)
         return out
 
-    kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     return with_columns(df, [field(n, k) for n, k in kinds.items()], digest)
 
 
