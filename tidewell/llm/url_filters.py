@@ -3,8 +3,9 @@
 A rule is `host/path-prefix` with a verdict.  It fits its host and every subdomain when the
 url's path starts with the rule's path; the longest rule wins (of equal length the longer
 host; of equal strings `block`).  The index holds the 64-bit xxhash of each rule's (host, path) in sorted order
-beside the full strings.  Only the (host length, path length) pairs that occur in the
-rules are tried on a url, so a url costs one probe for each pair at most, however long it is;
+beside the full strings, and a second sorted array the digests of the rules' hosts with the path lengths known for each.  A url's host is
+walked at its dots; all suffixes of a batch are probed in one binary search, and for those that are some rule's host the path
+prefixes of its lengths in a second one.  So a url costs its labels and the lengths of the hosts that it has, however many rules there are;
 each digest that is found is confirmed against the stored string, so that two rules with one
 digest cannot be confused.
 
@@ -59,12 +60,14 @@ def digest(host: str, path: str) -> int:
 
 @dataclass
 class DigestIndex:
-    """Sorted keys, and for each the place of its strings in `blob`; also a file's layout."""
+    """Sorted keys, and for each the place of its strings in `blob`; sorted host keys, and for each its path lengths."""
 
     keys: np.ndarray  # uint64, sorted
     ends: np.ndarray  # int64, where each entry's text ends in blob
+    hosts: np.ndarray  # uint64, sorted: digests of the rules' hosts
+    stops: np.ndarray  # int64, where each host's lengths end in `lengths`
+    lengths: np.ndarray  # int64: path lengths of a host's rules
     blob: np.ndarray  # uint8: host NUL path NUL rule NUL verdict
-    shapes: list[tuple[int, int]]  # (host length, path length), best first
 
     @classmethod
     def build(cls, rules: list[tuple[str, str]]) -> DigestIndex:
@@ -72,21 +75,34 @@ class DigestIndex:
         for rule, verdict in sorted(rules, key=lambda r: (r[1] != "block", r[0])):
             best.setdefault(split_rule(rule), (rule, verdict))
         entries = sorted((digest(h, p), h, p, rule, verdict) for (h, p), (rule, verdict) in best.items())
+        known: dict[int, set[int]] = {}
+        for _, host, path, _, _ in entries:
+            known.setdefault(digest(host, ""), set()).add(len(path))
+        hosts = sorted(known)
         texts = ["\0".join(e[1:]).encode() for e in entries]
-        shapes = sorted({(len(e[1]), len(e[2])) for e in entries}, key=lambda s: (-(s[0] + s[1]), -s[0]))
-        return cls(np.array([e[0] for e in entries], np.uint64), np.cumsum([len(t) for t in texts], dtype=np.int64), np.frombuffer(b"".join(texts), np.uint8), shapes)
+        return cls(
+            np.array([e[0] for e in entries], np.uint64), np.cumsum([len(t) for t in texts], dtype=np.int64), np.array(hosts, np.uint64),
+            np.cumsum([len(known[h]) for h in hosts], dtype=np.int64), np.array([n for h in hosts for n in sorted(known[h])], np.int64), np.frombuffer(b"".join(texts), np.uint8),
+        )
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.keys, self.ends, self.hosts, self.stops, self.lengths, self.blob]
 
     def to_bytes(self) -> bytes:
-        return self.keys.tobytes() + self.ends.tobytes() + self.blob.tobytes()
+        return b"".join(part.tobytes() for part in self.parts())
+
+    def sizes(self) -> list[int]:
+        return [len(part) for part in self.parts()]
 
     def nbytes(self) -> int:
-        return self.keys.nbytes + self.ends.nbytes + self.blob.nbytes
+        return sum(part.nbytes for part in self.parts())
 
     @classmethod
-    def mapped(cls, raw: bytes, n: int, shapes: list[tuple[int, int]]) -> DigestIndex:
+    def mapped(cls, raw: bytes, sizes: list[int]) -> DigestIndex:
         """The index in a file of this worker's temp folder, memory-mapped; the file's name is gone at once."""
-        if not n:
-            return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), [])
+        kinds = [np.uint64, np.int64, np.uint64, np.int64, np.int64, np.uint8]
+        if not raw:
+            return cls(*[np.zeros(0, kind) for kind in kinds])
         handle, path = tempfile.mkstemp(prefix="urlidx")
         try:
             with os.fdopen(handle, "wb") as out:
@@ -94,7 +110,12 @@ class DigestIndex:
             whole = np.memmap(path, np.uint8, "r")
         finally:
             os.unlink(path)
-        return cls(whole[: 8 * n].view(np.uint64), whole[8 * n : 16 * n].view(np.int64), whole[16 * n :], shapes)
+        out, at = [], 0
+        for n, kind in zip(sizes, kinds, strict=True):
+            size = n * np.dtype(kind).itemsize
+            out.append(whole[at : at + size].view(kind))
+            at += size
+        return cls(*out)
 
     def entry(self, at: int) -> list[str]:
         start = int(self.ends[at - 1]) if at else 0
@@ -103,45 +124,53 @@ class DigestIndex:
     def probe(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
         """(rule, verdict) of the longest rule that fits each url."""
         out: list[tuple[str, str] | None] = [None] * len(hosts)
-        open_ = list(range(len(hosts)))
-        for host_len, path_len in self.shapes:
-            tried, asked = [], []
-            for i in open_:
-                host, path = hosts[i], paths[i]
-                cut = len(host) - host_len
-                if cut >= 0 and len(path) >= path_len and (cut == 0 or host[cut - 1] == "."):
-                    tried.append(i)
-                    asked.append((host[cut:], path[:path_len]))
-            if not tried:
+        if not len(self.keys):
+            return out
+        walked: dict[str, list[str]] = {}  # host: its suffixes, longest first
+        for host in hosts:
+            if host and host not in walked:
+                labels = host.split(".")
+                walked[host] = [".".join(labels[i:]) for i in range(len(labels))]
+        suffixes = list({s for found in walked.values() for s in found})
+        at, found = _search(self.hosts, [digest(s, "") for s in suffixes])
+        known = {s: self.lengths[int(self.stops[i - 1]) if i else 0 : int(self.stops[i])].tolist() for s, i, ok in zip(suffixes, at.tolist(), found.tolist(), strict=True) if ok}
+        asked = [(i, s, path[:n]) for i, (host, path) in enumerate(zip(hosts, paths, strict=True)) for s in walked.get(host, ()) for n in known.get(s, ()) if n <= len(path)]
+        asked.sort(key=lambda a: (a[0], -(len(a[1]) + len(a[2])), -len(a[1])))
+        at, found = _search(self.keys, [digest(h, p) for _, h, p in asked])
+        for j in np.flatnonzero(found).tolist():
+            i, *wanted = asked[j]
+            if out[i] is not None:
                 continue
-            wanted = np.fromiter((digest(h, p) for h, p in asked), np.uint64, len(asked))
-            left = np.searchsorted(self.keys, wanted, "left")
-            hit = np.flatnonzero((left < len(self.keys)) & (self.keys[np.minimum(left, len(self.keys) - 1)] == wanted))
-            for j in hit:
-                at = int(left[j])
-                while at < len(self.keys) and self.keys[at] == wanted[j]:
-                    host, path, rule, verdict = self.entry(at)
-                    if (host, path) == asked[j]:
-                        out[tried[j]] = (rule, verdict)
-                        break
-                    at += 1
-            if len(hit):
-                open_ = [i for i in open_ if out[i] is None]
+            place = int(at[j])
+            key = self.keys[place]
+            while place < len(self.keys) and self.keys[place] == key:
+                host, path, rule, verdict = self.entry(place)
+                if [host, path] == wanted:
+                    out[i] = (rule, verdict)
+                    break
+                place += 1
         return out
 
 
+def _search(keys: np.ndarray, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted number in sorted keys, and whether it is there."""
+    asked = np.array(wanted, np.uint64)
+    at = np.searchsorted(keys, asked, "left")
+    return at, (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == asked)
+
+
 def url_filter(df: DataFrame, rules: list[tuple[str, str]], *, url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """df with host, path, rule and verdict of each url (columns of those names in df are replaced)."""
     index = DigestIndex.build(rules)
     if index.nbytes() > MAX_SHIPPED_BYTES:
         table = df.sparkSession.createDataFrame([(r, v) for r, v in rules], "rule string, verdict string")
         return match_by_join(df, table, url_col=url_col, default=default)
-    raw, n, shapes = index.to_bytes(), len(index.keys), index.shapes
+    raw, sizes = index.to_bytes(), index.sizes()
     held: list[DigestIndex] = []
 
     def judge(batch: pa.RecordBatch) -> dict:
         if not held:
-            held.append(DigestIndex.mapped(raw, n, shapes))
+            held.append(DigestIndex.mapped(raw, sizes))
         parts = [split_url(u) for u in batch.column(batch.schema.get_field_index(url_col)).to_pylist()]
         hosts, paths = [p[0] for p in parts], [p[1] for p in parts]
         found = held[0].probe(hosts, paths)
