@@ -8,8 +8,10 @@ the whole item are compared with it, and the best-scoring segment around the hit
 another) must have MIN_EQUAL equal words, or all words of a shorter item, and a share of MIN_SHARE equal ones.
 
 The documents' windows are generated, hashed and probed inside one stage: only hits leave
-it.  The benchmark's distinct hashes are broadcast while they are at most MAX_BROADCAST_ROWS
-(counted first); a larger benchmark is joined by shuffle.  A passage in very many documents gives rows in
+it.  The benchmark's places (hash, item, position) are broadcast while they are at most MAX_BROADCAST_ROWS
+(counted first); a larger benchmark is joined by shuffle, for which a window is three numbers: a document's words are
+joined again to its distinct alignments only.  A hash that many items share is a row for each place, never a list, so
+that a skewed one can be split.  A passage in very many documents gives rows in
 proportion to its occurrences, in the partition of each document: nothing is grouped by passage.
 Items with the same words are compared once and named by the smallest item_id; `n_items` says how many there are.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read
+from tidewell.llm.common import read, unused
 
 #: Fixed spaced seeds, each of weight 6; a 0 ignores the word at its position.
 MASKS = ["11011011", "1101000111", "110010101001"]
@@ -61,16 +63,16 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     return hashed.where(F.size("item") > 0).groupBy("item").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", masks: list[str] | None = None, min_equal: int = MIN_EQUAL, min_share: float = MIN_SHARE) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", masks: list[str] | None = None, min_equal: int = MIN_EQUAL, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(id, item_id, n_items, doc_at, item_at, length, equal): verified overlaps, the best of each document and item."""
     masks = masks or MASKS
     items = benchmark_items(benchmark)
     short = [r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < min(map(len, masks))).distinct().collect()]  # lengths, fewer than a mask's
-    hashed = docs.select(F.col(id_col).alias("_id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
+    hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
     found = None
     for group in [masks, *[["1" * n] for n in sorted(short)]]:
         own = items if group is masks else items.where(F.size("item") == len(group[0]))
-        found = _hits(hashed, own, group) if found is None else found.unionByName(_hits(hashed, own, group))
+        found = _hits(hashed, own, group, max_broadcast) if found is None else found.unionByName(_hits(hashed, own, group, max_broadcast))
     scored = found.select("_id", "item_id", "n_items", "diagonal", "item", _segment(min_equal, min_share).alias("s")).where("s.equal >= least(size(item), %d) AND s.equal >= %s * s.length" % (min_equal, min_share))
     best = scored.groupBy("_id", "item_id").agg(F.max(F.struct(F.col("s.equal").alias("equal"), (-F.col("s.length")).alias("neg"), (-F.col("s.start")).alias("start"), (-F.col("diagonal")).alias("diagonal"), "n_items")).alias("b"))
     return best.select(
@@ -79,18 +81,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     )
 
 
-def _hits(hashed: DataFrame, items: DataFrame, masks: list[str]) -> DataFrame:
+def _hits(hashed: DataFrame, items: DataFrame, masks: list[str], max_broadcast: int) -> DataFrame:
     """(_id, item_id, n_items, item, diagonal, window): the alignments of all hits; window holds the document's words along the item."""
     seeds = masked_windows(items, ["item_id"], "item", masks).select("key", "item_id", F.col("at").alias("item_at"), F.size("item").alias("n")).distinct()
-    seeds = seeds.groupBy("key").agg(F.collect_list(F.struct("item_id", "item_at", "n")).alias("places"))
-    small = seeds.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    seeds = F.broadcast(seeds) if small else seeds
-    windows = masked_windows(hashed, ["_id"], "_h", masks)
-    hits = windows.join(seeds, "key").select("_id", "_h", "at", F.explode("places").alias("p"))
-    diagonal = F.col("at") - F.col("p.item_at")
-    begin = F.greatest(diagonal, F.lit(0))
-    aligned = hits.select("_id", F.col("p.item_id").alias("item_id"), diagonal.alias("diagonal"), F.slice("_h", begin + 1, F.greatest(F.least(F.size("_h"), diagonal + F.col("p.n")) - begin, F.lit(0))).alias("window"))
-    once = aligned.dropDuplicates(["_id", "item_id", "diagonal", "window"])
+    diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
+    small = seeds.limit(max_broadcast + 1).count() <= max_broadcast
+    if small:
+        aligned = masked_windows(hashed, ["_id"], "_h", masks).join(F.broadcast(seeds), "key").select("_id", "_h", "item_id", "n", diagonal)
+    else:
+        hits = masked_windows(hashed, ["_row"], "_h", masks).select("_row", "at", "key").join(seeds, "key")
+        aligned = hits.select("_row", "item_id", "n", diagonal).distinct().join(hashed, "_row")
+    begin = F.greatest("diagonal", F.lit(0))
+    window = F.slice("_h", begin + 1, F.greatest(F.least(F.size("_h"), F.col("diagonal") + F.col("n")) - begin, F.lit(0)))
+    once = aligned.select("_id", "item_id", "diagonal", window.alias("window")).dropDuplicates(["_id", "item_id", "diagonal", "window"])
     return once.join(F.broadcast(items) if small else items, "item_id")
 
 
@@ -117,10 +120,11 @@ def _segment(min_equal: int, min_share: float) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a verified overlap; each row is judged by its own id and text."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    leaks = overlaps(keyed.select("_row", "text"), benchmark, id_col="_row", **options).select("_row").distinct()
+    row = unused(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    leaks = overlaps(keyed.select(row, "text"), benchmark, id_col=row, **options).select(row).distinct()
     bounded = F.broadcast(leaks) if leaks.limit(MAX_DROPS + 1).count() <= MAX_DROPS else leaks
-    return keyed.join(bounded, "_row", "left_anti").drop("_row")
+    return keyed.join(bounded, row, "left_anti").drop(row)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
