@@ -1,14 +1,16 @@
 """Sharding by fixed virtual slots (DataFrame functions only).
 
 Records are hashed into N_SLOTS virtual slots, bytes are summed for each slot, and a versioned
-map from slot to shard is stored.  A first map fills shards greedily, largest slot first into the
-shard with fewest bytes; `rebalance` edits a stored map for new sizes or another shard count
-and moves only slots that must move.  A record's slot never changes, so that only whole
+map from slot to shard is stored, each version in a folder of its own that a second writer can't take.  Version 1 deals the
+slots in turn, before any size is known; `rebalance` edits a stored version for new sizes or another shard count
+and moves only slots that must move, largest first to the lightest shard.  The query stores version 1, edits it by the slots'
+bytes and places the records by version 2.  `assign_slots` makes a first map from sizes where there are some.  A record's slot never changes, so that only whole
 slots travel.  The law that holds is `bytes`: shard sizes are near equal.
 
 Only (hash, size) pairs are aggregated, before the shuffle; the map has N_SLOTS rows whatever
 the input, which is the proven bound behind its broadcast.  The hash takes id and text, so
-neither a hot id, a null id nor a hot source gathers in a slot.  A record's place in its shard is
+neither a hot id, a null id nor a hot source gathers in a slot; copies of a text with ids of their own are so dealt to many
+slots, as a group of copies may hold more bytes than a shard.  A record's place in its shard is
 the rows of the shard's earlier slots plus its rank in its own slot: no window spans a shard.
 
 Defined cases: a null text has no bytes (size 1, checksum 0); a null id is hashed as such;
@@ -94,11 +96,22 @@ def rebalance(current: DataFrame, stats: DataFrame, n_shards: int, tolerance: fl
     return both.crossJoin(F.broadcast(version.toDF("version"))).select("version", F.lit(n_shards).alias("n_shards"), "virtual_slot", "shard", "bytes", "rows")
 
 
-def store_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Writes a map's version to path, beside earlier versions, and reads that version back."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
-    stored = slot_map.sparkSession.read.parquet(path)
-    return stored.join(F.broadcast(stored.agg(F.max("version").alias("version"))), "version", "left_semi")
+def even_map(stats: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """Version 1 of a map: the slots in turn."""
+    return stats.select(F.lit(1).alias("version"), F.lit(n_shards).alias("n_shards"), "virtual_slot", F.pmod("virtual_slot", F.lit(n_shards)).cast("int").alias("shard"), "bytes", "rows")
+
+
+def store_map(slot_map: DataFrame, path: str, version: int) -> DataFrame:
+    """Writes a version beside the others and reads it back; fails if that version is there, so two writers can't both have made it."""
+    slot_map.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return load_map(slot_map.sparkSession, path, version)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version, or the newest."""
+    if version is None:
+        version = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
 
 def place(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
@@ -115,8 +128,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of([F.col("doc_id"), text]).alias("virtual_slot")
     )
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}/slot_map"
-    slot_map = store_map(assign_slots(slot_stats(records)), path)
-    placed = place(records, slot_map, ["doc_id", "text_crc32", "size"])
+    stats = slot_stats(records)
+    first = store_map(even_map(stats), path, 1)
+    second = store_map(rebalance(first, first.select("virtual_slot", "bytes", "rows"), N_SHARDS, 0.0), path, 2)
+    placed = place(records, second, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
