@@ -100,10 +100,23 @@ def test_urls_by_brute_force_and_by_join(spark):
 def test_digest_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filters, "digest", lambda host, path: 7)
     index = url_filters.DigestIndex.build([("aa/", "block"), ("bb/", "allow")])
-    mapped = url_filters.DigestIndex.mapped(index.to_bytes(), 2, index.shapes)
+    mapped = url_filters.DigestIndex.mapped(index.to_bytes(), index.sizes())
     assert mapped.probe(["aa", "bb", "cc"], ["/", "/", "/"]) == [("aa/", "block"), ("bb/", "allow"), None]
 
 
+def test_many_rules_by_brute_force():
+    rng = np.random.default_rng(7)
+    label = lambda: "".join(rng.choice(list("ab"), int(rng.integers(1, 3))))
+    host = lambda: ".".join(label() for _ in range(int(rng.integers(1, 5))))
+    path = lambda: "/" + "/".join(label() for _ in range(int(rng.integers(0, 4))))
+    rules = list({(host() + path()): ("block", "allow")[int(rng.integers(2))] for _ in range(600)}.items())
+    index = url_filters.DigestIndex.build(rules)
+    urls = [f"http://{host()}{path()}" for _ in range(400)] + ["http:///x", "http://a", "http://.a/", "http://a..b/a"]
+    parts = [url_filters.split_url(u) for u in urls]
+    got = url_filters.DigestIndex.mapped(index.to_bytes(), index.sizes()).probe([p[0] for p in parts], [p[1] for p in parts])
+    assert got == [brute_rule(u, rules) for u in urls] and sum(g is not None for g in got) > 100
+
+
 # op2
 def test_shards_are_gapless_and_even(spark):
     got = sharding.op2_sharding(spark, SF).toPandas()
@@ -117,6 +130,44 @@ def test_shards_are_gapless_and_even(spark):
     assert loads.max() - loads.min() <= got["size"].max()
 
 
+def test_shards_by_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    size, rows, slot_of = collections.Counter(), collections.Counter(), {}
+    for d, t in docs:
+        seed = xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42)
+        slot_of[d] = xxhash.xxh64_intdigest((t or "").encode(), seed) % 4096  # 2**64 is a multiple of 4096, so signs don't matter
+        size[slot_of[d]] += len((t or "").encode()) + 1
+        rows[slot_of[d]] += 1
+    mean, shard, loads, loose = sum(size.values()) / 16, {}, [0] * 16, []
+    for home in range(16):
+        run = 0
+        for slot in sorted(range(home, 4096, 16), key=lambda s: (-size[s], s)):
+            run += size[slot]
+            if run <= mean:
+                shard[slot] = home
+                loads[home] += size[slot]
+            else:
+                loose.append(slot)
+    for slot in sorted(loose, key=lambda s: (-size[s], s)):
+        shard[slot] = loads.index(min(loads))
+        loads[shard[slot]] += size[slot]
+    first = {s: sum(rows[x] for x in range(s) if shard[x] == shard[s]) for s in set(slot_of.values())}
+    ranks = {d: k for s in first for k, d in enumerate(sorted(d for d in slot_of if slot_of[d] == s))}
+    got = {r["doc_id"]: (r["virtual_slot"], r["shard"], r["slot"], r["map_version"]) for r in sharding.op2_sharding(spark, SF).collect()}
+    assert got == {d: (s, shard[s], first[s] + ranks[d], 2) for d, s in slot_of.items()}
+
+
+def test_versions_have_one_writer(spark, tmp_path):
+    stats = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"), F.col("id").alias("bytes"), F.lit(1).cast("long").alias("rows"))
+    first = sharding.store_map(sharding.even_map(stats, 4), f"file://{tmp_path}/map", 1)
+    with pytest.raises(Exception, match="exist"):
+        sharding.store_map(sharding.even_map(stats, 4), f"file://{tmp_path}/map", 1)
+    sharding.store_map(sharding.rebalance(first, stats, 5), f"file://{tmp_path}/map", 2)
+    newest = sharding.load_map(spark, f"file://{tmp_path}/map")
+    assert {(r["version"], r["n_shards"]) for r in newest.collect()} == {(2, 5)} and newest.count() == 64
+    assert sharding.load_map(spark, f"file://{tmp_path}/map", 1).where("version = 1 AND n_shards = 4").count() == 64
+
+
 def test_rebalance_moves_few_slots(spark):
     stats = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 5 + 10).alias("bytes"), F.lit(1).cast("long").alias("rows"))
     first = sharding.assign_slots(stats, 4).cache()
@@ -150,6 +201,57 @@ def test_decontamination_finds_all_planted_passages(spark, duck):
     assert set(want) <= got and len(got) <= len(want) + 2
 
 
+def brute_overlaps(docs, items, masks, min_equal, min_share):
+    """The rule on every pair of a document and an item, word by word, without hashes."""
+    import re
+
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    folded = collections.defaultdict(list)
+    for i, t in items:
+        if words(t):
+            folded[tuple(words(t))].append(i)
+    out = {}
+    for d, t in docs:
+        doc = words(t)
+        for item, ids in folded.items():
+            spans = masks if len(item) >= min(map(len, masks)) else ["1" * len(item)]
+            diagonals = {
+                at - p
+                for mask in spans
+                for p in range(len(item) - len(mask) + 1)
+                for at in range(len(doc) - len(mask) + 1)
+                if all(doc[at + k] == item[p + k] for k, c in enumerate(mask) if c == "1")
+            }
+            for g in diagonals:
+                same = [(i, doc[g + i] == item[i]) for i in range(max(0, -g), min(len(item), len(doc) - g))]
+                score, _, start, length, equal = max(
+                    (sum(1 if e else -2 for _, e in same[a:b]), -b, same[a][0], b - a, sum(e for _, e in same[a:b])) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+                )
+                if equal >= min(len(item), min_equal) and equal >= min_share * length:
+                    key = (equal, -length, -start, -g)
+                    out[d, min(ids)] = max(out.get((d, min(ids)), key), key)
+    return {k: (-g - s, -s, -n, e) for k, (e, n, s, g) in out.items()}
+
+
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_ROWS, 0])
+def test_decontamination_by_brute_force(spark, most):
+    rng = np.random.default_rng(8)
+    word = lambda: "w%d" % rng.integers(60)
+    text = lambda n: [word() for _ in range(n)]
+    start = text(14)
+    items = [start + text(12), start + text(9), text(25), text(5), text(1), text(13), [], text(40)]
+    docs = []
+    for i in range(24):
+        item = items[int(rng.integers(len(items)))]
+        part = [w if rng.random() > 0.08 else word() for w in item[int(rng.integers(0, 4)) :]]
+        docs.append((i % 22, " ".join(text(int(rng.integers(0, 12))) + part * int(rng.integers(1, 3)) + text(int(rng.integers(0, 9))))))
+    docs += [(90, None), (91, ""), (92, docs[0][1])]
+    bench = [(i, " ".join(t)) for i, t in enumerate(items)] + [(50, " ".join(items[2])), (51, None)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), max_broadcast=most)
+    want = brute_overlaps(docs, bench, decontaminate.MASKS, decontaminate.MIN_EQUAL, decontaminate.MIN_SHARE)
+    assert {(r["doc_id"], r["item_id"]): (r["doc_at"], r["item_at"], r["length"], r["equal"]) for r in got.collect()} == want and len(want) > 15
+
+
 # op4
 def test_quality_on_held_out_labels(spark):
     sf = SF.replace("sf0.001", "sf0.1")
@@ -196,7 +298,7 @@ def test_ids_and_packing_round_trip(spark):
 
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text").collect()
-    strange = [(10_001, None), (10_002, ""), (10_003, "a  b\n c \n\n d'll  e   g "), (10_004, " x   y\n \nz"), (10_005, " \n"), (10_006, "x" * 9_000)]
+    strange = [(10_001, None), (10_002, ""), (10_003, "a  b\n c \n\n d'll  e   g "), (10_004, " x   y\n \nz"), (10_005, " \n"), (10_006, "x" * 9_000), (10_007, "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endoftext"), (10_008, "<|endoftext|>")]
     data = [(r["doc_id"], r["text"]) for r in docs] + strange
     frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = packing.pack(frame, packing.default_vocabulary(), with_ids=True).toPandas()
@@ -216,6 +318,41 @@ def test_ids_and_packing_round_trip(spark):
         packing.Packer(1000, 64)
 
 
+def test_special_tokens_as_text():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    tokenizer.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "<|endoftext|>"):
+        assert np.frombuffer(packing.ByteBpe(packing.default_vocabulary(), special=False).ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("pool", [0, 3, 1024])
+def test_packer_fills_gaps_with_whole_documents(pool):
+    rng = np.random.default_rng(5)
+    packer, sizes = packing.Packer(pool=pool), [int(n) for n in rng.integers(1, 700, 6000)] + [5000]
+    for doc, n in enumerate(sizes):
+        packer.add(doc, np.full(n, doc, "<u4").tobytes())
+        assert packer.n_waiting <= max(1, pool) and packer.n_waiting == sum(map(len, packer.waiting))
+    packer.finish()
+    pieces = collections.defaultdict(list)
+    for tier, window in packer.closed:
+        assert tier <= 1024 and tier & (tier - 1) == 0 and sum(len(ids) for _, _, ids in window) == 4 * tier
+        for doc, start, ids in window:
+            assert set(np.frombuffer(ids, "<u4")) == {doc}
+            pieces[doc].append((start, len(ids) // 4))
+    cut = 0
+    for doc, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(pieces[doc]):
+            assert start == at
+            at += length
+        assert at == n
+        cut += n <= 1024 and len(pieces[doc]) > 1
+    if pool == 1024:
+        assert cut < 0.03 * len(sizes)
+
+
 # op6
 def test_lines_by_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
@@ -280,6 +417,26 @@ def test_area_resize_by_brute_force():
     assert np.isclose(media.area_resize(image, 7, 5).mean(), image.mean())
 
 
+def test_difference_hash_by_brute_force():
+    rng = np.random.default_rng(6)
+    for rows, cols in ((8, 9), (16, 18), (24, 27), (40, 45)):
+        image = rng.integers(0, 256, (rows, cols), np.uint8)
+        bits = 0
+        for y in range(8):
+            cell = lambda x, y=y: int(image[rows // 8 * y : rows // 8 * (y + 1), cols // 9 * x : cols // 9 * (x + 1)].sum())
+            for x in range(8):
+                bits = bits << 1 | (cell(x + 1) > cell(x))
+        assert media.difference_hash(image) == f"{bits:016x}"
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, media.BMP_FROM - 64, media.BMP_FROM - 63, media.BMP_FROM, 100_001])
+def test_payloads_round_trip(n):
+    raw = bytes(np.random.default_rng(n).integers(0, 128, n, np.uint8))
+    image, length = media.payload_image(raw.decode())
+    assert length == n and media.decode(image).tobytes() == raw + bytes(max(64, -(-n // 64) * 64) - n)
+    assert image[:2] == (b"BM" if n + 63 >= media.BMP_FROM else b"P5")
+
+
 def test_media_columns(spark):
     texts = [(1, "hello " * 30), (2, None), (3, "hello " * 30)]
     images = media.text_images(spark.createDataFrame(texts, "doc_id long, text string"))
@@ -291,6 +448,10 @@ def test_media_columns(spark):
     tiles = media.media_columns(images.unionByName(spark.createDataFrame([(9, "", b"broken", 0)], images.schema)), "image", 8)
     by = {r["doc_id"]: r for r in tiles.collect()}
     assert np.load(io.BytesIO(by[1]["tile_npy"])).shape == (8, 8) and by[1]["height"] == 3 and by[9]["tile_npy"] is None
+    broken = media.image_digests(spark.createDataFrame([(1, b"broken"), (2, None), (3, b"BM123"), (4, b"P5\n4 4\n255\nxx")], "doc_id long, image binary")).collect()
+    assert len(broken) == 4 and all(v is None for r in broken for n, v in r.asDict().items() if n not in ("doc_id", "image"))
+    tile = media.tile_of(media.decode(media.payload_image("hello " * 30)[0]))
+    assert got[1]["tile_sha256"] == hashlib.sha256(media.npy(tile)).hexdigest() and tile.shape == (32, 32)
 
 
 # op8
@@ -331,7 +492,7 @@ def planted(seed=0):
     return [(int(d), t) for d, t in zip(rng.permutation(len(out)) + 1, out, strict=True)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"cap": 4}, {"cap": 4, "block_cap": 6, "unit_cap": 8}])
+@pytest.mark.parametrize("limits", [{}, {"cap": 4}, {"cap": 4, "block_cap": 6, "unit_cap": 8}, {"exact": True}])
 def test_near_duplicates_by_brute_force(spark, limits):
     data = planted()
     got = ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(4), **limits)
@@ -345,11 +506,38 @@ def test_words_and_short_sets():
     assert len(shingler.set_of("a b c d e f")) == 1
 
 
+@pytest.mark.parametrize("n", [4, 5, 9, 15, 40, 100, 333, 1000, 4000, 20_000])
+def test_pairs_at_the_threshold_meet(n):
+    """Sets with a similarity of 0.80 to 0.82 share a block key, and their points pass the bound; random sets don't."""
+    rng = np.random.default_rng(n)
+    draw = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    lost = tried = 0
+    for trial in range(60 if n > 2000 else 300):
+        base = np.unique(draw(n))
+        most = int(len(base) * 0.2)  # shingles that only the first has; the second lacks them, or has others instead
+        if trial % 2:
+            other = np.unique(base[rng.permutation(len(base))[: len(base) - most]])
+        else:
+            away = len(base) // 9
+            other = np.unique(np.concatenate([base[rng.permutation(len(base))[: len(base) - away]], draw(away)]))
+        if not ngram_join.linked(base, other) or len(base) == len(other) == len(np.intersect1d(base, other)):
+            continue
+        tried += 1
+        lost += not set(ngram_join.block_keys(base).tolist()) & set(ngram_join.block_keys(other).tolist())
+        assert set(ngram_join.exact_keys(base).tolist()) & set(ngram_join.exact_keys(other).tolist())
+        points = ngram_join.points_of([ngram_join.point_bytes(base), ngram_join.point_bytes(other)])
+        assert ngram_join.survivors_forest(points)
+    assert lost == 0 and (tried or n < 9)
+    if n >= 333:
+        points = ngram_join.points_of([ngram_join.point_bytes(np.unique(draw(n))) for _ in range(20)])
+        assert not ngram_join.survivors_forest(points)
+
+
 def test_tree_never_loses_a_pair():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(base, 280, replace=False), rng.integers(0, 1 << 63, int(k)).astype(np.uint64)])) for k in rng.integers(0, 60, 120)]
-    points = np.array([ngram_join.count_vector(s) for s in sets])
+    points = ngram_join.points_of([ngram_join.point_bytes(s) for s in sets])
     tree = ngram_join.CountTree(points)
     for i, s in enumerate(sets):
         reach = set(tree.reach(points[i]).tolist())
@@ -380,10 +568,45 @@ def test_perspectives(spark):
         assert [r["rendered"][a : a + n] for a, n in spans] == [{"ann": "hi < |im_end|><|im_end|>", "bob": "yo<|im_end|>", "cat": "<|im_end|>"}[r["participant"]]]
 
 
-def test_long_conversations_are_cut(spark):
-    data = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("role"), F.lit("x").alias("text"))
-    got = chat.rotate_perspectives(data).groupBy("participant").agg(F.sum("n_messages").alias("n"), F.max("n_messages").alias("m")).collect()
-    assert [(r["n"], r["m"]) for r in got] == [(1000, 256), (1000, 256)]
+def brute_dialogues(rows, segment_turns):
+    """{(conversation, participant): (whole rendering, spans)} of conv_id, turn, role, text, without segments."""
+    out, convs = {}, collections.defaultdict(list)
+    clean = lambda x: x.replace("<|", "< |")
+    for conv, turn, role, text in rows:
+        speaker = clean((role or "").strip(" ")) or "unknown"
+        convs[conv].append((chat.NO_TURN if turn is None else turn // segment_turns, turn is not None, turn or 0, speaker, clean(text or "")))
+    for conv, said in convs.items():
+        for who in {m[3] for m in said} - {"system"}:
+            whole, spans = "", []
+            for *_, speaker, body in sorted(said):
+                whole += "<|im_start|>" + ("system" if speaker == "system" else "assistant" if speaker == who else "user name=" + speaker) + "\n"
+                if speaker == who:
+                    spans.append((len(whole), len(body) + 10))
+                whole += body + "<|im_end|>\n"
+            out[conv, who] = whole, spans
+    return out
+
+
+@pytest.mark.parametrize("segment", [2, 256])
+def test_whole_dialogues_by_brute_force(spark, segment):
+    rng = np.random.default_rng(4)
+    pick = lambda values: values[int(rng.integers(len(values)))]
+    data = [(pick([1, 1, 1, 2, 3, None]), pick([None, 0, 0, 1, 5, 6, 7, 300, -4]), pick(["ann", "bob", " cat ", "", None, "system", "<|x"]), pick(["ok", "ok", "", None, "a\nb", "<|im_end|>", "é" * 3])) for _ in range(400)]
+    data += [(7, None, "ann", "ok")] * 700 + [(8, i, "p%d" % (i % 2), "x") for i in range(1000)] + [(9, 0, "system", "only")]
+    got = collections.defaultdict(list)
+    for r in chat.rotate_perspectives(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), segment).collect():
+        assert 0 < r["n_messages"] <= segment
+        got[r["conv_id"], r["participant"]].append(r)
+    want = brute_dialogues(data, segment)
+    assert set(got) == set(want)
+    for key, parts in got.items():
+        whole, spans = "", []
+        for r in sorted(parts, key=lambda r: (r["segment"], r["part"])):
+            assert r["starts_at"] == len(whole)
+            spans += [(len(whole) + int(a), int(n)) for a, n in (x.split(":") for x in r["mask_spans"].split(",") if x)]
+            whole += r["rendered"]
+        assert (whole, spans) == want[key]
+        assert sum(r["n_messages"] for r in parts) == sum(m[0] == key[0] for m in data)
 
 
 # op10
@@ -396,6 +619,17 @@ PAGES = {
     "<main><p>a&nbsp;\n b</p><form><label>no</label></form><div style='display:none'>no</div><p>c</p></main><div>" + "no " * 50 + "</div>": "a b c",
     "<title>no</title><style>p{}</style><p data-x='>'>yes &lt;p&gt;</p>": "yes <p>",
     "<header><p>" + "site " * 30 + "</p></header><div><p>" + "text " * 30 + "</p></div><div class='ad banner'>" + "buy " * 30 + "</div>": ("text " * 30).strip(),
+    # furniture doesn't end a stretch: headline, share bar, text, advert, short close
+    "<div><h2>Title here</h2><div class='share-buttons'><a href=x>Tweet</a></div><p>" + "word " * 40 + "</p><div class=ad>Buy</div><p>Bye.</p></div>": "Title here " + "word " * 40 + "Bye.",
+    # menus without marks go, a single link stays
+    "<ul><li><a href=a>Home</a><li><a href=b>About us</a><li><a href=c>Contact</a></ul><p>" + "word " * 40 + "<p><a href=d>All of it is here</a><p>End.": "word " * 40 + "All of it is here End.",
+    "<p>" + "word " * 40 + "</p><div><a href=a>Home</a> | <a href=b>About</a></div><div><a href=a>Imprint</a></div><div><a href=a>Privacy</a></div>": "word " * 40,
+    # names that only contain a furniture word
+    "<article><div id='social-history'><p>one</p></div><div class='search-theory x'>two</div><h2 id=comments>three</h2><p class='ad-hoc'>four</p><div class='comment-list'>no</div><div id=sidebar2>no</div></article>": "one two three four",
+    # an unclosed link ends with its block
+    "<div><p><a href=x>open<p>" + "word " * 30 + "</div>": "open " + "word " * 30,
+    # a stretch that never surges
+    "<div>" + "".join(f"<p><a href={i}>link {i}</a></p>" for i in range(9)) + "<p>(c)</p>" + "".join(f"<p><a href={i}>more {i}</a></p>" for i in range(9)) + "<p>" + "word " * 60 + "</p></div>": "word " * 60,
 }
 
 
@@ -404,13 +638,36 @@ def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page].strip()
 
 
-def test_pages_keep_the_whole_article(spark):
+@pytest.mark.parametrize("declared", [True, False])
+def test_pages_keep_the_whole_article(spark, declared):
+    """Against the text of the article's own element, with that element named and without."""
     import html
     import re
 
-    for r in html_text.op10_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         body = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", r["html"], re.S)[1])
-        assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", body)).split()) and r["n_chars"] == len(r["text"])
+        page = r["html"] if declared else r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(page) == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", body)).split())
+    got = html_text.op10_html_extraction(spark, SF).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got} == {html_text.main_text(r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
+def test_windows_by_brute_force():
+    """Every line is kept that lies in a stretch with a surge; a stretch ends where a window has no weight."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        weights = [int(w) for w in rng.choice([0, 0, 0, 5, 30, 90], int(rng.integers(0, 30)))]
+        page = "".join(f"<p>{'x' * w}</p>" if w else "<p><a href=1>q</a> <a href=2>q</a></p>" for w in weights)
+        empty = [sum(weights[i : i + 3]) == 0 for i in range(len(weights))]
+        least = min(60, max((sum(weights[i : i + 3]) for i in range(len(weights))), default=0) / 2)
+        want = []
+        for i, w in enumerate(weights):
+            low = max((k for k in range(i + 1) if empty[k]), default=-1) + 1
+            high = next((k for k in range(i, len(weights)) if empty[k]), len(weights))
+            first = next((k for k in range(low, high) if weights[k]), high)
+            if not empty[i] and i >= first and any(sum(weights[k : k + 3]) >= least for k in range(low, high)):
+                want.append("x" * w if w else "q q")
+        assert html_text.main_text(page) == " ".join(want)
 
 
 def test_duck_views():

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: count vectors in an R-tree bound the overlap, exact sets decide.
 
-A document's set holds the hashes of its distinct WORDS-word shingles.  Shingles are hashed into groups;
-a document is the point of its group counts.  For two points the sum of the coordinates' minima bounds the overlap of
+A document's set holds the hashes of its distinct WORDS-word shingles.  Shingles are hashed into groups, so many
+that one holds PER_GROUP shingles or fewer; a document is the point of its group counts.  Points of two sizes are compared
+in the groups of the smaller, which the larger's add up to.  For two points the sum of the coordinates' minima bounds the overlap of
 the sets from above, and for a box of points the minima with the box's greatest counts do; an R-tree over the points
 visits only boxes that can still reach the overlap that the similarity asks for.  Pairs that survive are
 verified on the whole sets: 100 * intersection >= 80 * union.
@@ -9,7 +10,9 @@ verified on the whole sets: 100 * intersection >= 80 * union.
 Which points meet in a tree is decided by the content of groups, too.  The groups of a size class are so fine
 (2 to 5 shingles each) that sets with a similarity of 0.8 or more have each group wholly in common
 with a probability of 0.32 or more; N_KEYS groups of each document become block keys.  A pair at
-the threshold misses all of them with a probability below 3e-7, a closer pair far less often; equal sets never.
+the threshold misses all of them with a probability below 3e-7, a closer pair far less often; equal sets never.  With
+`exact=True` the keys are a set's 20 per cent of least shingles in the order of a hash, of which a pair at the threshold shares one for
+certain; there are more of them in long texts, and a passage in common is a block of all that have it.
 
 1. Equal sets are folded to one node, by the hash of the set, before anything else.
 2. Blocks: the points of the nodes that share a key are one R-tree join.  A block gives back a spanning forest of the
@@ -40,14 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tidewell.llm.common import field, read, with_columns, written
+from tidewell.llm.common import field, read, unused, with_columns, written
 from tidewell.llm.components import components
 
 WORDS = 5
 SIMILARITY = 80  # per cent
 N_KEYS = 40
-#: Coordinates of the points in a tree.
-GROUPS = 32
+#: Shingles of a group, and the least and greatest number of coordinates of a point, powers of two.
+PER_GROUP = 8
+GROUPS, MAX_GROUPS = 32, 4096
 LEAF = 16
 CAP = 512
 #: Nodes of a block that are one join of points; a larger block is cut into chunks of half of it, which meet in pairs.
@@ -133,10 +137,38 @@ def block_keys(shingles: np.ndarray, n_keys: int = N_KEYS) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def exact_keys(shingles: np.ndarray) -> np.ndarray:
+    """Block keys (int64) of which two sets that reach the similarity share one: the least n - ceil(0.8 n) + 1 shingles by a hash."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(0, np.int64)
+    return np.sort(mix(shingles + _salt(7)))[: n - -(-n * SIMILARITY // 100) + 1].view(np.int64)
+
+
+def groups_of(n: int) -> int:
+    """Coordinates of the point of n shingles."""
+    return min(MAX_GROUPS, max(GROUPS, 1 << (max(1, -(-n // PER_GROUP)) - 1).bit_length()))
+
+
+def count_vector(shingles: np.ndarray, groups: int | None = None) -> np.ndarray:
+    groups = groups or groups_of(len(shingles))
     return np.bincount(((mix(shingles) >> _S32) * np.uint64(groups) >> _S32).astype(np.int64), minlength=groups)
 
 
+def point_bytes(shingles: np.ndarray) -> bytes:
+    """The point, behind the width of its numbers."""
+    point = count_vector(shingles)
+    width = 1 if point.max(initial=0) < 1 << 8 else 2 if point.max() < 1 << 16 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    """Points as rows, all in the groups of the smallest: neighbouring groups of a larger point are added up."""
+    points = [np.frombuffer(r, f"<u{r[0]}", offset=1) for r in raw]
+    groups = min(map(len, points))
+    return np.array([p.reshape(groups, -1).sum(axis=1, dtype=np.int32) for p in points])
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= SIMILARITY * (len(a) + len(b) - common)
@@ -207,7 +239,8 @@ def tree_join(sets: list[np.ndarray], known: list[int], asks: list[bool] | None
     leaders: dict[int, int] = {}
     for i, c in enumerate(known):
         root[i] = leaders.setdefault(c, i)
-    points = np.array([count_vector(s) for s in sets])
+    groups = min((groups_of(len(s)) for s in sets), default=GROUPS)
+    points = np.array([count_vector(s, groups) for s in sets])
     tree, out = CountTree(points), []
     for i in range(len(sets)):
         if asks is not None and not asks[i]:
@@ -248,7 +281,7 @@ def survivors_forest(points: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def fingerprints(docs: DataFrame, n_keys: int = N_KEYS) -> DataFrame:
+def fingerprints(docs: DataFrame, n_keys: int = N_KEYS, exact: bool = False) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, point, keys): node is the hash of the whole set, null for an empty one."""
     held: list[Shingler] = []
 
@@ -259,8 +292,8 @@ def fingerprints(docs: DataFrame, n_keys: int = N_KEYS) -> DataFrame:
             shingles = shingler.set_of(text.as_py())
             sizes.append(len(shingles))
             nodes.append(node_of(shingles))
-            points.append(count_vector(shingles).astype("<u4").tobytes())
-            keys.append(block_keys(shingles, n_keys))
+            points.append(point_bytes(shingles))
+            keys.append(exact_keys(shingles) if exact else block_keys(shingles, n_keys))
         return {"n_shingles": sizes, "node": nodes, "point": points, "keys": pa.array(keys, pa.list_(pa.int64()))}
 
     made = [field("n_shingles", "long"), field("node", "long"), field("point", "binary"), field("keys", "array<long>")]
@@ -278,11 +311,11 @@ def node_of(shingles: np.ndarray) -> int | None:
     return h - (1 << 64) if h >> 63 else h
 
 
-def jaccard_components(docs: DataFrame, *, n_keys: int = N_KEYS, cap: int = CAP, block_cap: int = BLOCK_CAP, unit_cap: int = UNIT_CAP) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, n_keys: int = N_KEYS, exact: bool = False, cap: int = CAP, block_cap: int = BLOCK_CAP, unit_cap: int = UNIT_CAP) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    prints = written(spark, fingerprints(docs, n_keys), "prints")
+    prints = written(spark, fingerprints(docs, n_keys, exact), "prints")
     nodes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     roots = _roots(spark, docs, prints, cap, block_cap, unit_cap)
     names = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -322,7 +355,7 @@ def _forest(blocks: DataFrame, block_cap: int) -> DataFrame:
         out: list[tuple[int, int, float]] = []
         for _, rows in _runs(batches):
             if len(rows) > 1:
-                found = survivors_forest(np.array([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64))
+                found = survivors_forest(points_of([r[1] for r in rows]))
                 out += [(rows[i][0], rows[j][0], bound) for i, j, bound in found]
             if len(out) > 4096:
                 yield _weighted(out)
@@ -443,12 +476,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     named = grouped.where("component_id IS NOT NULL").join(first.where("component_id IS NOT NULL"), "component_id")
     gone = named.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bounded = F.broadcast(gone) if gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else gone
-    own = docs.withColumn("_own", text_hash())
-    kept = own.join(bounded, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti")
+    mark, lost_id, lost_hash = (unused(docs, n) for n in ("own", "lost_id", "lost_hash"))
+    own = docs.withColumn(mark, text_hash())
+    bounded = bounded.select(F.col("_id").alias(lost_id), F.col("_hash").alias(lost_hash))
+    kept = own.join(bounded, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(mark) == F.col(lost_hash)), "left_anti")
     repeated = grouped.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():  # equal rows: only then is a shuffle of the texts needed
-        kept = kept.dropDuplicates(["doc_id", "_own"])
-    return kept.drop("_own")
+        kept = kept.dropDuplicates(["doc_id", mark])
+    return kept.drop(mark)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
