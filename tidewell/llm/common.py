@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,7 +82,7 @@ def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Re
     kept_names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = fn(batch)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in kept_names]
             columns += [v if isinstance(v := made[n], pa.Array) else pa.array(v, type=kind) for n, kind in kinds.items()]
@@ -90,6 +91,28 @@ def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Re
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+#: Rows of a piece of an Arrow batch.
+PIECE = 1_000
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that what is made of them is small; free memory goes back to the machine before and after.
+
+    Workers are reused by all stages of a session, and what one stage freed but kept would count against the next one.
+    """
+    trim()
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only this machine's C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import field, read, unused, written
+from tidewell.llm.common import field, pieces, read, unused, written
 from tidewell.llm.components import components
 
 LEVELS = 3
@@ -108,7 +108,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, masked = xxhash.xxh64_intdigest, lambda w: VARIABLE if _DIGIT.search(w) else w
-        for batch in batches:
+        for batch in pieces(batches):
             at, places, hashes, leaves, lines = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 for place, line in enumerate(text.as_py().split("\n")):

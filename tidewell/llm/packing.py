@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidewell.llm.common import field, read
+from tidewell.llm.common import field, pieces, read
 
 MAX_TIER, MIN_TIER = 1024, 64
 STEP_TOKENS = 8 * MAX_TIER
@@ -46,7 +46,7 @@ POOL = 1024
 TRIES = 48
 END_ID = 0
 #: Entries of the cache from a chunk to its ids; a worker's cache is emptied when it is full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: The pre-tokenisation pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BOUNDARY = re.compile(r" (?=\S)")
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
 
         kinds: list = []
         end = np.asarray([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             kinds = kinds or [batch.schema.field("doc_id").type, *[pa.int64()] * 6, pa.int32(), pa.int64(), *([pa.binary()] if with_ids else [])]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = bpe.ids(text.as_py() or "") + end

@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import field, read, with_columns
+from tidewell.llm.common import field, pieces, read, with_columns
 
 BITS = 20
 MAX_TRAIN = 12_000
 EPOCHS = 3
 THRESHOLD = 0.3
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Weight of the share of each order of n-grams; its length is the greatest order.
 ORDERS = (16.0, 8.0)
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, epo
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
-        for batch in batches:
+        for batch in pieces(batches):
             made = [features.sparse(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1).cast(pa.int32()), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())],
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, epo
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(h, q, np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for b in batches for h, q, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows = [(h, q, np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for b in pieces(batches) for h, q, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
         model = Ftrl(bits)
         for _ in range(epochs):
