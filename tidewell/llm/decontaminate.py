@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read, unused
+from tidewell.llm.common import read, unused, written
 
 #: Fixed spaced seeds, each of weight 6; a 0 ignores the word at its position.
 MASKS = ["11011011", "1101000111", "110010101001"]
@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """The documents without a verified overlap; each row is judged by its own id and text."""
     row = unused(docs, "row")
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    leaks = overlaps(keyed.select(row, "text"), benchmark, id_col=row, **options).select(row).distinct()
+    leaks = written(docs.sparkSession, overlaps(keyed.select(row, "text"), benchmark, id_col=row, **options).select(row).distinct(), "leaks")  # counted and joined
     bounded = F.broadcast(leaks) if leaks.limit(MAX_DROPS + 1).count() <= MAX_DROPS else leaks
     return keyed.join(bounded, row, "left_anti").drop(row)
 
