@@ -506,6 +506,28 @@ def test_words_and_short_sets():
     assert len(shingler.set_of("a b c d e f")) == 1
 
 
+def test_blocks_of_near_copies_are_folded(spark):
+    """One text with a word changed in each copy, copies of copies, and strangers that share half of it."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    base = [word() for _ in range(120)]
+    data = []
+    for i in range(240):
+        text = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            text[at] = word()
+        data.append(text if i % 12 else base[:60] + [word() for _ in range(60)])
+    data = [(i, " ".join(t)) for i, t in enumerate(data)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = brute_components(data)
+    for limits in ({"block_cap": 16}, {"block_cap": 40, "cap": 8, "unit_cap": 16}):
+        got = ngram_join.jaccard_components(frame, **limits)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+    points = [ngram_join.point_bytes(ngram_join.Shingler().set_of(t)) for _, t in data]
+    alone = ngram_join.survivors_forest(ngram_join.points_of(points), [0] * len(data))
+    assert alone == [] and ngram_join.survivors_forest(ngram_join.points_of(points), None, [False] * len(data)) == []
+
+
 @pytest.mark.parametrize("n", [4, 5, 9, 15, 40, 100, 333, 1000, 4000, 20_000])
 def test_pairs_at_the_threshold_meet(n):
     """Sets with a similarity of 0.80 to 0.82 share a block key, and their points pass the bound; random sets don't."""

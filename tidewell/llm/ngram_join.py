@@ -16,8 +16,10 @@ certain; there are more of them in long texts, and a passage in common is a bloc
 
 1. Equal sets are folded to one node, by the hash of the set, before anything else.
 2. Blocks: the points of the nodes that share a key are one R-tree join.  A block gives back a spanning forest of the
-   pairs that the bound lets through, so a block of m nodes costs m - 1 rows at most.  A block of more than BLOCK_CAP nodes is
-   joined in pairs of chunks.  Most chance meetings, such as a passage in common, end here, where only points travel.
+   pairs that the bound lets through, so a block of m nodes costs m - 1 rows at most.  Most chance meetings, such as a passage in
+   common, end here, where only points travel.  In a block of more than BLOCK_CAP nodes each node's set is first verified against those of
+   PILOTS nodes of the block, and linked nodes are folded; then only nodes outside the block's largest fold are joined with all others,
+   in pairs of chunks.  So a block of near copies costs a few verifications a node; one of many unlike nodes costs pairs of chunks.
 3. The forest's components are clusters: every pair that could be linked lies within one.  A cluster of up to CAP nodes
    is one exact R-tree join over its sets; each set travels once.
 4. In a larger cluster every node's PARTNERS best pairs of the forest are verified first, and linked nodes become one component.
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tidewell.llm.common import field, read, unused, with_columns, written
+from tidewell.llm.common import field, pieces, read, unused, with_columns, written
 from tidewell.llm.components import components
 
 WORDS = 5
@@ -56,12 +58,14 @@ LEAF = 16
 CAP = 512
 #: Nodes of a block that are one join of points; a larger block is cut into chunks of half of it, which meet in pairs.
 BLOCK_CAP = 4_096
+#: Nodes of a large block that all its nodes are verified against.
+PILOTS = 4
 #: Nodes of a cluster up to which its strays are joined with the whole cluster; in a larger one they are joined by block.
 UNIT_CAP = 20_480
 PARTNERS = 3
 #: Nodes up to which the list of clustered nodes is broadcast to the second pass over the texts; a longer one is joined by shuffle.
 MAX_BROADCAST = 2_000_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S32 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(32)
 
@@ -252,32 +256,35 @@ def tree_join(sets: list[np.ndarray], known: list[int], asks: list[bool] | None
     return out
 
 
-def survivors_forest(points: np.ndarray) -> list[tuple[int, int, float]]:
+def survivors_forest(points: np.ndarray, folds: list[int] | None = None, asks: list[bool] | None = None) -> list[tuple[int, int, float]]:
     """A spanning forest (i, j, bound similarity) of the pairs that the bound lets through, each link the best of its node.
 
-    A node takes one pair to every component that it reaches among the nodes before it.
+    A node takes one pair to every component that it reaches among the nodes before it.  folds: nodes of one fold are a component from the
+    start.  asks: which nodes are compared with all others; two that don't ask aren't compared.
     """
     n, sizes = len(points), points.sum(axis=1)
-    if n <= LEAF:
-        common = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
-        reach = [np.flatnonzero(CountTree._fits(common[i], int(sizes[i]), sizes, sizes)) for i in range(n)]
-    else:
-        tree = CountTree(points)
-        reach = [tree.reach(points[i]) for i in range(n)]
-    label, out = np.arange(n), []
-    for i in range(1, n):
-        near = reach[i][reach[i] < i]
+    tree = CountTree(points) if n > LEAF else None
+
+    def reach(i: int) -> np.ndarray:
+        if tree is not None:
+            return tree.reach(points[i])
+        return np.flatnonzero(CountTree._fits(np.minimum(points, points[i]).sum(axis=1), int(sizes[i]), sizes, sizes))
+
+    label = np.arange(n) if folds is None else np.unique(folds, return_inverse=True)[1]
+    asked, out = np.ones(n, bool) if asks is None else np.array(asks, bool), []
+    for i in range(n):
+        if not asked[i]:
+            continue
+        near = reach(i)
+        near = near[((near < i) | ~asked[near]) & (label[near] != label[i])]
         if not len(near):
             continue
         common = np.minimum(points[near], points[i]).sum(axis=1)
         ratio = common / (sizes[near] + sizes[i] - common)
         order = np.lexsort((near, -ratio))
-        labels = label[near][order]
-        names, first = np.unique(labels, return_index=True)
+        names, first = np.unique(label[near][order], return_index=True)
         out += [(i, int(near[order[f]]), float(ratio[order[f]])) for f in first]
-        label[i] = names[0]
-        if len(names) > 1:
-            label[np.isin(label, names)] = names[0]
+        label[np.isin(label, [*names.tolist(), label[i]])] = names[0]
     return out
 
 
@@ -332,7 +339,13 @@ def _roots(spark: SparkSession, docs: DataFrame, prints: DataFrame, cap: int, bl
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(spark, keyed.join(shared, "key"), "met")
     points = prints.select("node", "point").join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("point").alias("point"))
-    forest = written(spark, _forest(met.join(points, "node"), block_cap).groupBy("a", "b").agg(F.max("bound").alias("bound")), "forest")
+    crowded = met.where(F.col("n") > block_cap)
+    any_crowded = not crowded.isEmpty()
+    points = written(spark, points, "points") if any_crowded else points
+    edges = _forest(met.where(F.col("n") <= block_cap).join(points, "node"))
+    if any_crowded:
+        edges = edges.unionByName(_crowded_forest(spark, docs, prints, crowded, points, block_cap))
+    forest = written(spark, edges.groupBy("a", "b").agg(F.max("bound").alias("bound")), "forest")
     clusters = components(spark, forest)
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     clustered = written(spark, clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "size"), "clusters")
@@ -344,18 +357,20 @@ def _roots(spark: SparkSession, docs: DataFrame, prints: DataFrame, cap: int, bl
     return components(spark, small.unionByName(large))
 
 
-def _forest(blocks: DataFrame, block_cap: int) -> DataFrame:
-    """(a, b, bound) of every block (key, n, node, point)."""
-    chunks = F.when(F.col("n") <= block_cap, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / block_cap)).cast("int")
-    placed = blocks.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least("chunk", j), F.greatest("chunk", j)))
-    tasks = placed.select("node", "point", F.explode(others).alias("task"))
+def _forest(blocks: DataFrame) -> DataFrame:
+    """(a, b, bound) of every block (key, node, point)."""
+    tasks = blocks.select(F.col("key").alias("task"), "node", "point", F.col("node").alias("fold"), F.lit(True).alias("asks"))
+    return _forest_of(tasks)
+
+
+def _forest_of(tasks: DataFrame) -> DataFrame:
+    """(a, b, bound) of every task (task, node, point, fold, asks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, float]] = []
         for _, rows in _runs(batches):
             if len(rows) > 1:
-                found = survivors_forest(points_of([r[1] for r in rows]))
+                found = survivors_forest(points_of([r[1] for r in rows]), [r[2] for r in rows], [r[3] for r in rows])
                 out += [(rows[i][0], rows[j][0], bound) for i, j, bound in found]
             if len(out) > 4096:
                 yield _weighted(out)
@@ -363,10 +378,54 @@ def _forest(blocks: DataFrame, block_cap: int) -> DataFrame:
         if out:
             yield _weighted(out)
 
-    ordered = tasks.select("task", "node", "point").repartition("task").sortWithinPartitions("task", "node")
+    ordered = tasks.select("task", "node", "point", "fold", "asks").repartition("task").sortWithinPartitions("task", "node")
     return ordered.mapInArrow(run, T.StructType([*LINKS.fields, field("bound", "double")]))
 
 
+def _crowded_forest(spark: SparkSession, docs: DataFrame, prints: DataFrame, crowded: DataFrame, points: DataFrame, block_cap: int) -> DataFrame:
+    """(a, b, bound) of blocks (key, node) of more than block_cap nodes: verified links with the pilots, and the forest of the others."""
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node")).alias(f"p{i}") for i in range(PILOTS)]
+    pilots = crowded.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.node") for i in range(PILOTS)]))).alias("pilot"))
+    pairs = crowded.select("key", "node").join(pilots, "key").where("node <> pilot").select(F.least("node", "pilot").alias("a"), F.greatest("node", "pilot").alias("b")).distinct()
+    pairs = written(spark, pairs, "pairs")
+    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(spark, _sets(docs, prints, members.select("node", F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("size"))), "sets").select("node", "set")
+    links = written(spark, _verified(pairs, sets), "links")
+    folds = written(spark, members.join(components(spark, links), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "folds")
+    tasks = _minor_tasks(crowded.select(F.col("key").alias("unit"), "node").join(folds, "node"), block_cap // 2)
+    rest = _forest_of(tasks.join(points, "node").select("task", "node", "point", F.col("comp").alias("fold"), "asks"))
+    return rest.unionByName(links.select("a", "b", F.lit(1.0).alias("bound")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets (node, set) reach the similarity."""
+    shipped = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            b, a, set_a, set_b = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("b", "a", "set_a", "set_b"))
+            yield _links([(x, y) for x, y, s, t in zip(a, b, set_a, set_b, strict=True) if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64))])
+
+    return shipped.mapInArrow(verify, LINKS)
+
+
+def _minor_tasks(units: DataFrame, cap: int) -> DataFrame:
+    """(task, node, comp, asks) that bring the nodes outside the largest component of each unit (unit, node, comp) together with all
+    others, in chunks of cap; nodes of the largest component don't ask, and units of one component have no task."""
+    parts = units.groupBy("unit", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("unit").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    mixed = mixed.select("unit", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / cap).cast("int").alias("n_major"), F.ceil((F.col("n") - F.col("top.n")) / cap).cast("int").alias("n_minor"))
+    rows = units.join(mixed, "unit").withColumn("asks", F.col("comp") != F.col("major"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("n_minor")).otherwise(F.col("n_major"))).cast("int"))
+    # A task is (unit, minor chunk, kind of the other chunk, other chunk); minor chunks also meet each other.
+    tasks = F.when(F.col("asks"), F.expr(
+        "concat(transform(sequence(0, n_major - 1), j -> struct(chunk AS i, 0 AS kind, j AS j)),"
+        " transform(sequence(0, n_minor - 1), j -> struct(least(chunk, j) AS i, 1 AS kind, greatest(chunk, j) AS j)))"
+    )).otherwise(F.expr("transform(sequence(0, n_minor - 1), i -> struct(i AS i, 0 AS kind, chunk AS j))"))
+    spread = rows.select("node", "comp", "asks", "unit", F.explode(tasks).alias("t"))
+    return spread.select("node", "comp", "asks", F.xxhash64("unit", "t.i", "t.kind", "t.j").alias("task"))
+
+
 def _weighted(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
     return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bound"])
@@ -430,31 +489,13 @@ def _large(spark: SparkSession, sets: DataFrame, met: DataFrame, forest: DataFra
     both = forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"), "bound")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
     best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("bound"), "b"))
     pairs = both.withColumn("k", best).where(F.col("k") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b, a, set_a, set_b = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("b", "a", "set_a", "set_b"))
-            yield _links([(x, y) for x, y, s, t in zip(a, b, set_a, set_b, strict=True) if linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64))])
-
-    stars = written(spark, pairs.mapInArrow(verify, LINKS), "stars")
+    stars = written(spark, _verified(pairs, sets), "stars")
     comps = written(spark, nodes.join(components(spark, stars), "node", "left").select("node", "cluster", "size", F.coalesce("root", "node").alias("comp")), "comps")
 
     whole = comps.where(F.col("size") <= unit_cap).select(F.col("cluster").alias("unit"), "node", "comp")
     by_key = met.select(F.col("key").alias("unit"), "node").join(comps.where(F.col("size") > unit_cap).select("node", "comp"), "node")
     units = whole.unionByName(by_key.select("unit", "node", "comp"))
-    parts = units.groupBy("unit", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("unit").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    mixed = mixed.select("unit", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / cap).cast("int").alias("n_major"), F.ceil((F.col("n") - F.col("top.n")) / cap).cast("int").alias("n_minor"))
-    rows = units.join(mixed, "unit").withColumn("asks", F.col("comp") != F.col("major"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("n_minor")).otherwise(F.col("n_major"))).cast("int"))
-    # A task is (unit, minor chunk, kind of the other chunk, other chunk); minor chunks also meet each other.
-    tasks = F.when(F.col("asks"), F.expr(
-        "concat(transform(sequence(0, n_major - 1), j -> struct(chunk AS i, 0 AS kind, j AS j)),"
-        " transform(sequence(0, n_minor - 1), j -> struct(least(chunk, j) AS i, 1 AS kind, greatest(chunk, j) AS j)))"
-    )).otherwise(F.expr("transform(sequence(0, n_minor - 1), i -> struct(i AS i, 0 AS kind, chunk AS j))"))
-    spread = rows.select("node", "comp", "asks", "unit", F.explode(tasks).alias("t"))
-    keyed = spread.select("node", "comp", "asks", F.xxhash64("unit", "t.i", "t.kind", "t.j").alias("task"))
+    keyed = _minor_tasks(units, cap)
     shipped = keyed.join(sets, "node").select("task", "node", "comp", "asks", "set").repartition("task").sortWithinPartitions("task", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

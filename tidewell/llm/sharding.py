@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewell.llm.common import read, shared_dir
+from tidewell.llm.common import read, shared_dir, unused
 
 N_SLOTS = 4096
 N_SHARDS = 16
@@ -119,7 +119,9 @@ def place(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFram
     first = F.sum("rows").over(W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1))  # over N_SLOTS rows in all
     starts = slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(first, F.lit(0).cast("long")).alias("_first"))
     rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(*order)) - 1
-    return records.withColumn("_rank", rank).join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("_first") + F.col("_rank")).drop("_first", "_rank")
+    place_, start = unused(records, "rank"), unused(records, "first")
+    joined = records.withColumn(place_, rank).join(F.broadcast(starts.withColumnRenamed("_first", start)), "virtual_slot")
+    return joined.withColumn("slot", F.col(start) + F.col(place_)).drop(start, place_)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
