@@ -17,7 +17,10 @@ def test_submission_and_summary():
     good = {"digest": "text", "constants": [{"op": "add", "content": "x", "shared": True}, {"op": "retire", "constant_id": "1"}]}
     assert checks.submission(good, {"1"}, 10) == []
     bad = {"digest": "a" * 100, "other": 1, "constants": [{"op": "update", "constant_id": "9", "content": " "}, {"op": "drop"}]}
-    assert len(checks.submission(bad, {"1"}, 10)) == 5
+    assert len(checks.submission(bad, {"1"}, 10)) == 4
+    assert checks.submission({"digest": "a" * 44, "constants": [{"op": "update", "constant_id": "1", "shared": False}], "constants_md": "x"}, {"1"}, 10) == []
+    worse = {"digest": "a" * 45, "constants": [{"op": "update", "constant_id": "1"}, {"op": "retire"}, {"op": "add", "content": " "}], "constants_md": " "}
+    assert len(checks.submission(worse, None, 10)) == 5
     assert checks.summary({"summary": "x" * 700}) == [] and checks.summary({"summary": "x" * 701}) and checks.summary([]) == ["summary is a text"]
     assert checks.policy(None) is False
     with pytest.raises(ValueError):

@@ -162,6 +162,27 @@ def test_freeze_and_refeed():
         cards.freeze_refeed([1], ["t"], lambda r, t: [])
 
 
+def test_large_graphs_are_split_by_all_tasks(spark):
+    rng = np.random.default_rng(9)
+    n, groups = 600, 12
+    a, b = rng.integers(0, n, 14_000), rng.integers(0, n, 14_000)
+    keep = (a < b) & ((a % groups == b % groups) | (rng.random(len(a)) < 0.05))
+    pairs = sorted(set(zip(a[keep].tolist(), b[keep].tolist(), strict=True)))
+    a, b = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    edges = spark.createDataFrame([(f"{x:04d}", f"{y:04d}", 1.0) for x, y in pairs], "a string, b string, weight double")
+    for most in (100, 10_000):
+        found = {r["node"]: r["part"] for r in leiden.coarsened(edges, most).collect()}
+        names = sorted({int(x) for x in found})
+        part = np.array([found[f"{x:04d}"] for x in names])
+        place = {x: i for i, x in enumerate(names)}
+        u, v = np.array([place[x] for x in a]), np.array([place[x] for x in b])
+        local = leiden.partition(len(names), u, v, np.ones(len(u)))
+        score = lambda p, u=u, v=v, k=len(names): leiden.modularity(k, u, v, np.ones(len(u)), p)
+        assert score(part) > 0.85 * score(local) and set(part) == set(range(part.max() + 1))
+    paths = {r["card_id"]: r["path"] for r in leiden.hierarchy(edges, spark.createDataFrame([(f"{x:04d}",) for x in range(n)], "card_id string"), max_local=500).collect()}
+    assert len(paths) == n and len({p.split(".")[1] for p in paths.values() if "." in p}) >= 8
+
+
 def test_leiden_finds_planted_parts():
     rng = np.random.default_rng(1)
     label = np.arange(80) // 20

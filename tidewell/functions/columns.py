@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,14 +85,60 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Markers of injected text that isn't the user's own.
 REMINDER = r"(?s)<system-reminder>.*?</system-reminder>"
-NOTICE = r"(?s)<task-notification>.*?</task-notification>"
-ECHO = r"(?s)<command-(?:name|message)>.*?</command-(?:name|message)>"
 ARGUMENTS = r"(?s)<command-args>(.*?)</command-args>"
+COMMAND = "<command-name>"
+NOT_SAID = ("<task-notification>", '{"type":"result"', "<local-command-stdout>", "<local-command-stderr>")
+INTERRUPTED = ("[Request interrupted by user for tool use]", "[Request interrupted by user]")
+HEARTBEAT = ("[heartbeat]", "# atrun")
+BARE_TOKEN = r"(?U)^[\w./:@-]+\z"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def clean_user_text(text: Column) -> Column:
-    """A user's own words: injected blocks go; of a command echo only arguments of several words stay."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), REMINDER, ""), NOTICE, "")
-    arguments = F.trim(F.regexp_extract(bare, ARGUMENTS, 1))
-    is_echo = bare.rlike(ECHO)
-    return F.when(is_echo, F.when(arguments.rlike(r"\s"), arguments).otherwise(F.lit(""))).otherwise(F.trim(bare))
+    """A user's own words.
+
+    Reminders are cut out wherever they stand; what then begins as a notification, a result or a command's output, or is an
+    interruption note or a heartbeat, is nothing.  What begins as a command's echo is its arguments, unless
+    they are one bare token such as a model's name or a path.  Markers inside a sentence mean nothing.
+    """
+    said = strip(F.regexp_replace(F.coalesce(text, F.lit("")), REMINDER, ""))
+    arguments = strip(F.regexp_extract(said, ARGUMENTS, 1))
+    beat = said.startswith(HEARTBEAT[0]) & F.contains(said, F.lit(HEARTBEAT[1]))
+    void = said.isin(*INTERRUPTED) | beat
+    for mark in NOT_SAID:
+        void = void | said.startswith(mark)
+    return F.when(void, F.lit("")).when(said.startswith(COMMAND), F.when(arguments.rlike(BARE_TOKEN), F.lit("")).otherwise(arguments)).otherwise(said)
+
+
+def canonical_json(payload: Column) -> Column:
+    """Any JSON text with sorted keys and no spaces; null if it isn't JSON."""
+    def dump(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return F.udf(dump, "string", useArrow=True)(payload)
+
+
+def strip_ansi(text: Column) -> Column:
+    """Without terminal escapes and control characters other than tab and line ends."""
+    escapes = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[@-Z\\-_]"
+    return F.regexp_replace(F.regexp_replace(text, escapes, ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+
+
+def fill(template: Column, values: dict[str, Column]) -> Column:
+    """`{name}` of the given names replaced, in one pass over the template; other braces stay."""
+    pieces = F.regexp_extract_all(template, F.lit(r"(?s)\{\w+\}|[^{]+|\{"), F.lit(0))
+
+    def one(piece: Column) -> Column:
+        out = piece
+        for name, value in values.items():
+            out = F.when(piece == f"{{{name}}}", value).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(pieces, one), "")

@@ -25,7 +25,9 @@ def tags_of(card_tags: DataFrame) -> DataFrame:
 def card_detail(cards: DataFrame, card_tags: DataFrame, viewer: str | None, ids: DataFrame | None = None) -> DataFrame:
     """Masked cards with their tags; ids: a table of card_id to look up."""
     rows = masked_view(cards, viewer)
-    rows = rows if ids is None else rows.join(ids, "card_id", "left_semi")
+    if ids is not None:  # a look-up: both sides are cut down before tags are grouped
+        wanted = F.broadcast(ids.select("card_id")) if ids.limit(10_001).count() <= 10_000 else ids.select("card_id")
+        rows, card_tags = rows.join(wanted, "card_id", "left_semi"), card_tags.join(wanted, "card_id", "left_semi")
     return rows.join(tags_of(card_tags), "card_id", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
 
 
@@ -96,11 +98,14 @@ def before(siblings: DataFrame, limit: int) -> DataFrame:
     return wanted.join(siblings.select("session_id", "card_id", "idx"), ["session_id", "idx"]).select("anchor", "card_id", "idx")
 
 
-def wander_rank(cards: DataFrame, access: DataFrame, viewer: str | None, now: str, days: int = 7) -> DataFrame:
-    """Visible cards older than so many days with the viewer's reads; least read first, then a hash order in place of chance."""
+def wander_rank(cards: DataFrame, access: DataFrame, viewer: str | None, now: str, days: int = 7, seed: int | None = None) -> DataFrame:
+    """Visible cards older than so many days with the viewer's reads; least read first, then by dice: a hash of the id and the seed.
+
+    Another seed is another draw; the same one repeats it, whatever the partitions.
+    """
     reads = (access if viewer is None else access.where(F.col("viewer") == viewer)).groupBy("card_id").agg(F.count("*").alias("n_access"))
     old = visible_cards(cards, viewer).where(F.col("card_ts") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS"))
-    return old.join(reads, "card_id", "left").select("card_id", F.coalesce("n_access", F.lit(0)).cast("long").alias("n_access"), F.md5(F.col("card_id").cast("binary")).alias("dice"))
+    return old.join(reads, "card_id", "left").select("card_id", F.coalesce("n_access", F.lit(0)).cast("long").alias("n_access"), F.md5((F.col("card_id") if seed is None else F.concat(F.lit(f"{seed}|"), "card_id")).cast("binary")).alias("dice"))
 
 
 def clip(rows: DataFrame, text: str, partition: list[str], order: list[str], field_chars: int, total_chars: int) -> DataFrame:
@@ -138,3 +143,22 @@ def card_timestamp(cards: DataFrame, turns: DataFrame) -> DataFrame:
     whole = turns.groupBy("session_id").agg(F.max("ts").alias("session_at"))
     joined = cards.select("card_id", "session_id").join(inside, "card_id", "left").join(whole, "session_id", "left")
     return joined.select("card_id", F.coalesce("span_at", "session_at").alias("at"))
+
+
+def session_cards(cards: DataFrame, session_id: int | None = None) -> DataFrame:
+    """(session_id, card_id, k): each session's cards by first round, time and id."""
+    rows = cards if session_id is None else cards.where(F.col("session_id") == session_id)
+    order = W.partitionBy("session_id").orderBy(F.coalesce("turn_start", F.lit(0)), "card_ts", "card_id")
+    return rows.select("session_id", "card_id", F.row_number().over(order).alias("k"))
+
+
+def headlines(ids: DataFrame, cards: DataFrame, limit: int) -> DataFrame:
+    """(group, pos, headline) of the first `limit` ids (group, card_id, pos) that are cards, in the order of pos."""
+    found = ids.join(cards.select("card_id", "headline"), "card_id")
+    rank = F.row_number().over(W.partitionBy("group").orderBy("pos", "card_id"))
+    return found.withColumn("_k", rank).where(F.col("_k") <= limit).select("group", "pos", "headline")
+
+
+def file_sessions(candidates: DataFrame) -> DataFrame:
+    """(file, session) pairs of candidates (file, session_id): what `touched_files` expands over."""
+    return candidates.select("file", F.col("session_id").alias("session")).distinct()

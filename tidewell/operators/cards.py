@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -41,6 +40,16 @@ def card_gate(turns: DataFrame, calls: DataFrame, now: str, min_rounds: int = 5,
     return rows.select("session_id", "new_rounds", ((F.col("new_rounds") >= min_rounds) & rested).alias("open"))
 
 
+def gate_by_source(turns: DataFrame, calls: DataFrame, now: str, limits: dict[str, tuple[int, int]], default: tuple[int, int] = (5, 60)) -> DataFrame:
+    """(session_id, source, new_rounds, open): the gate with the least rounds and minutes of each session's source; turns: session_id, round, ts, source."""
+    of = turns.groupBy("session_id").agg(F.min("source").alias("source"))
+    pick = lambda i: F.coalesce(*[F.when(F.col("source") == s, F.lit(v[i])) for s, v in sorted(limits.items())], F.lit(default[i]))
+    last = calls.groupBy("session_id").agg(F.max("called_at").alias("attempt"))
+    rows = card_gate(turns, calls, now, 0, 0).drop("open").join(of, "session_id").join(last, "session_id", "left")
+    waited = F.timestamp_diff("SECOND", F.col("attempt"), F.lit(now).cast("timestamp_ntz")) >= 60 * pick(1)
+    return rows.select("session_id", "source", "new_rounds", ((F.col("new_rounds") >= pick(0)) & (F.col("attempt").isNull() | waited)).alias("open"))
+
+
 def tail_plan(cards: DataFrame, turns: DataFrame) -> DataFrame:
     """(session_id, prefix_cards, start_round, max_round, owned): what a rewrite of each session's tail replaces.
 
@@ -55,6 +64,77 @@ def tail_plan(cards: DataFrame, turns: DataFrame) -> DataFrame:
     return rows.select("session_id", F.coalesce("prefix_cards", F.lit(0)).cast("long").alias("prefix_cards"), F.coalesce("kept_end", "first_round").cast("long").alias("start_round"), "max_round", "owned")
 
 
+def render_windows(turns: DataFrame, windows: DataFrame, names: dict[str, str], cap: int = 1600) -> DataFrame:
+    """(session_id, lo, text): the rounds lo to hi of each window (session_id, lo, hi) as text: a head a round, a line a turn, cut at cap characters.
+
+    names: what user and assistant are called.
+    """
+    wanted = windows.select("session_id", "lo", F.explode(F.sequence("lo", "hi")).alias("round"))
+    said = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    shown = F.when(F.length(said) > cap, F.concat(F.substring(said, 1, cap), F.lit(" …"))).otherwise(said)
+    who = F.when(F.col("role") == "user", names["user"]).otherwise(names["assistant"])
+    head = F.when(F.col("message_seq") == 1, F.concat(F.lit("\nR"), F.col("round").cast("string"), F.lit("\n"))).otherwise("")
+    lines = wanted.join(turns, ["session_id", "round"]).select("session_id", "lo", "round", "message_seq", F.concat(head, who, F.lit(": "), shown).alias("line"))
+    grouped = lines.groupBy("session_id", "lo").agg(F.sort_array(F.collect_list(F.struct("round", "message_seq", "line"))).alias("lines"))
+    return grouped.select("session_id", "lo", F.ltrim(F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"^\n", "")).alias("text"))
+
+
+def covered(cards: DataFrame, turns: DataFrame) -> DataFrame:
+    """(session_id, covered_round, max_round, done): done where a session's own last card ends at its last round or beyond, so that an update is no work."""
+    last = cards.groupBy("session_id").agg(F.max("turn_end").cast("long").alias("covered_round"))
+    most = turns.groupBy("session_id").agg(F.max("round").alias("max_round"))
+    return most.join(last, "session_id", "left").select("session_id", "covered_round", "max_round", F.coalesce(F.col("covered_round") >= F.col("max_round"), F.lit(False)).alias("done"))
+
+
+def run_sessions(sessions: list, work, most: int | None = None) -> tuple[list, dict]:
+    """(done, failed): work on up to `most` sessions in order; one that fails doesn't stop the others, and its error is kept by its id.
+
+    A caller that must not go on unheard raises on `failed`.
+    """
+    done, failed = [], {}
+    for session in sessions[:most]:
+        try:
+            work(session)
+            done.append(session)
+        except Exception as problem:  # the isolation of sessions is the point
+            failed[session] = f"{type(problem).__name__}: {problem}"
+    return done, failed
+
+
+def eligible_sessions(linear: DataFrame, branches: DataFrame) -> DataFrame:
+    """(key, kind, last_at, k): sessions and tree branches with something new, the most active last first; each: key, last_at.  A key in both is a branch."""
+    rows = branches.select("key", F.lit("branch").alias("kind"), "last_at").unionByName(linear.join(branches.select("key"), "key", "left_anti").select("key", F.lit("session").alias("kind"), "last_at"))
+    return rows.withColumn("k", F.row_number().over(W.orderBy(F.desc("last_at"), "key")))  # a row a session to work on
+
+
+def project_messages(nodes: DataFrame, stored: DataFrame, speakers: dict[str, str]) -> DataFrame:
+    """Messages (source_uuid, role, speaker, text, ts) that nodes add to the stored ones; a node that differs from its stored message stops the load."""
+    made = nodes.select(F.col("node_id").alias("source_uuid"), "role", F.when(F.col("role") == "user", speakers["user"]).otherwise(speakers["assistant"]).alias("speaker"), "text", F.col("occurred_at").alias("ts"))
+    old = stored.select("source_uuid", F.struct("role", "text", "ts").alias("_old"))
+    joined = made.join(old, "source_uuid", "left")
+    differs = F.col("_old").isNotNull() & ~F.struct("role", "text", "ts").eqNullSafe(F.col("_old"))
+    checked = joined.withColumn("role", F.when(differs, F.raise_error(F.concat(F.lit("projection conflict: "), "source_uuid"))).otherwise(F.col("role")))
+    return checked.where(F.col("_old").isNull() | differs).drop("_old")
+
+
+def upsert_sessions(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Provenance by session: new rows (session_id, native_id, parent, route, room, seq) replace route, room and parent of a stored one, the last by seq; a
+    session keeps its native id."""
+    last = new.groupBy("session_id").agg(F.max_by(F.struct("native_id", "parent", "route", "room"), "seq").alias("n"))
+    both = stored.withColumn("_s", F.lit(True)).join(last, "session_id", "full")
+    pick = lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("session_id", F.coalesce("native_id", "n.native_id").alias("native_id"), pick("parent"), pick("route"), pick("room"))
+
+
+def apply_decisions(cards: DataFrame, keep: DataFrame, drop: DataFrame, apply: bool = False) -> DataFrame:
+    """cards without those to drop (card_id); an id that isn't there, or that is kept as well, stops it; without apply nothing is dropped."""
+    unknown = drop.select("card_id").unionByName(keep.select("card_id")).distinct().join(cards.select("card_id"), "card_id", "left_anti").limit(1).collect()
+    both = drop.join(keep, "card_id", "left_semi").limit(1).collect()
+    if unknown or both:
+        raise ValueError(f"{unknown[0]['card_id']} isn't there" if unknown else f"{both[0]['card_id']} is kept and dropped")
+    return cards.join(drop.select("card_id"), "card_id", "left_anti") if apply else cards
+
+
 def effective_cards(cards: DataFrame, forks: DataFrame) -> DataFrame:
     """(session_id, card_id, inherited): a session's own cards, and the parent's cards that end at or before the fork."""
     own = cards.select("session_id", "card_id", F.lit(False).alias("inherited"))
@@ -68,6 +148,12 @@ def reroom(cards: DataFrame, rooms: DataFrame) -> DataFrame:
     return cards.join(rooms.select("session_id", F.col("room").alias("_room")), "session_id", "left").withColumn("room", F.coalesce("_room", "room")).drop("_room")
 
 
+def room_vote(turns: DataFrame) -> DataFrame:
+    """(session_id, room): the room that most of a session's turns come from, of equals the greater name; turns: session_id, room (null: unknown)."""
+    tally = turns.where("room IS NOT NULL").groupBy("session_id", "room").agg(F.count("*").alias("n"))
+    return tally.groupBy("session_id").agg(F.max_by("room", F.struct("n", "room")).alias("room"))
+
+
 def session_room(tree: DataFrame, envelope: DataFrame, votes: DataFrame) -> DataFrame:
     """(session_id, room, origin): the tree's room, else the envelope's, else the vote's; each: session_id, room."""
     parts = [t.select("session_id", F.struct(F.lit(i).alias("p"), F.lit(n).alias("origin"), "room").alias("r")) for i, (n, t) in enumerate((("tree", tree), ("envelope", envelope), ("vote", votes)))]
@@ -127,4 +213,3 @@ def generate(turns: DataFrame, init: int = 14, grow: int = 14) -> DataFrame:
     return rounds.groupBy("session_id").applyInPandas(run, "session_id long, n long, turn_start long, turn_end long, headline string")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n != "Iterator"]

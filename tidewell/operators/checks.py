@@ -7,6 +7,8 @@ import re
 from typing import Any
 
 OPS = ("add", "update", "retire")
+#: A digest may be so much longer than its limit before it is refused.
+SLACK = 1.1
 
 
 def extract_json(text: str) -> Any:
@@ -50,16 +52,22 @@ def estimate_tokens(text: str) -> int:
     return wide + -(-(len(text) - wide) // 4)
 
 
-def submission(data: Any, known_ids: set[str], max_tokens: int) -> list[str]:
-    """Problems of a digest submission {digest, constants: [{op, constant_id, content, shared}]}; empty if it is fine."""
+def submission(data: Any, known_ids: set[str] | None, max_tokens: int) -> list[str]:
+    """Problems of a digest submission {digest, constants: [{op, constant_id, content, shared}], constants_md}; empty if it is fine.
+
+    known_ids None leaves ids unchecked; an update gives content, shared or both.
+    """
     if not isinstance(data, dict):
         return ["a submission is an object"]
-    out = [f"unknown key {k}" for k in sorted(set(data) - {"digest", "constants"})]
-    digest = data.get("digest")
+    out = [f"unknown key {k}" for k in sorted(set(data) - {"digest", "constants", "constants_md"})]
+    digest, most = data.get("digest"), int(max_tokens * SLACK)
     if not isinstance(digest, str) or not digest.strip():
         out.append("digest is a text")
-    elif estimate_tokens(digest) > max_tokens:
-        out.append(f"digest has {estimate_tokens(digest)} tokens of {max_tokens}")
+    elif (n := estimate_tokens(digest.strip())) > most:
+        out.append(f"digest has {n} tokens of {max_tokens}, {most} with slack")
+    rendered = data.get("constants_md")
+    if rendered is not None and (not isinstance(rendered, str) or not rendered.strip()):
+        out.append("constants_md is a text, or isn't given")
     ops = data.get("constants", [])
     if not isinstance(ops, list):
         return [*out, "constants is a list"]
@@ -67,21 +75,26 @@ def submission(data: Any, known_ids: set[str], max_tokens: int) -> list[str]:
         if not isinstance(op, dict) or op.get("op") not in OPS:
             out.append(f"constants[{i}]: op is one of {', '.join(OPS)}")
             continue
-        if op["op"] != "add" and op.get("constant_id") not in known_ids:
-            out.append(f"constants[{i}]: unknown id {op.get('constant_id')}")
-        if op["op"] != "retire" and not str(op.get("content") or "").strip():
-            out.append(f"constants[{i}]: content is empty")
-        if "shared" in op and not isinstance(op["shared"], bool):
-            out.append(f"constants[{i}]: shared is true or false")
+        if op["op"] == "add":
+            if not isinstance(op.get("content"), str) or not op["content"].strip():
+                out.append(f"constants[{i}]: content is empty")
+            continue
+        if not op.get("constant_id"):
+            out.append(f"constants[{i}]: no id")
+        elif known_ids is not None and op["constant_id"] not in known_ids:
+            out.append(f"constants[{i}]: unknown id {op['constant_id']}")
+        if op["op"] == "update" and "content" not in op and "shared" not in op:
+            out.append(f"constants[{i}]: neither content nor shared")
     return out
 
 
 def summary(data: Any, most: int = 700) -> list[str]:
     """Problems of a summary {summary: text}."""
+    unknown = [f"unknown key {k}" for k in sorted(set(data) - {"summary"})] if isinstance(data, dict) else []
     text = data.get("summary") if isinstance(data, dict) else None
     if not isinstance(text, str) or not text.strip():
-        return ["summary is a text"]
-    return [f"summary has {len(text)} characters of {most}"] if len(text) > most else []
+        return [*unknown, "summary is a text"]
+    return unknown if len(text) <= most else [*unknown, f"summary has {len(text)} characters of {most}"]
 
 
 def policy(value: Any) -> bool:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tidewell.functions.columns import cosine, norm, unit
 from tidewell.operators.components import components
 from tidewell.store import cut
 
-#: Rows of one side of a block of the all-pairs product.
-BLOCK = 2_048
+#: Rows of a block of the all-pairs product.
+BLOCK = 16_384
 
 
 def unresolved_tags(card_tags: DataFrame, known: DataFrame, min_df: int = 2) -> DataFrame:
@@ -34,6 +35,13 @@ def entity_idf(entities: DataFrame, n_cards: DataFrame, stop: set[str] = frozens
     return df.crossJoin(F.broadcast(n_cards)).where(F.col("df") <= generic_share * F.col("n")).select("entity", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
+def generic_entities(entities: DataFrame, n_cards: DataFrame, stop: set[str], generic_share: float = 0.25) -> DataFrame:
+    """(entity, reason): what labels and weights leave out: stop words, and entities in more than generic_share of all cards."""
+    df = entities.groupBy("entity").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_cards))  # one row
+    reason = F.when(F.lower("entity").isin(*stop), "stop word").when(F.col("df") > generic_share * F.col("n"), "generic")
+    return df.select("entity", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def cooccurrence(entities: DataFrame, idf: DataFrame) -> DataFrame:
     """(a, b, n_shared, weight): card pairs that share an entity of positive idf; the generic cap bounds an entity's cards."""
     rows = entities.join(idf.where("idf > 0"), "entity").select("entity", "card_id", "idf")
@@ -64,6 +72,17 @@ def tag_similarity(pairs: DataFrame, min_df: int = 2, threshold: float = 0.6) ->
     return scored.select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def association(pairs: DataFrame, min_df: int = 2) -> DataFrame:
+    """(a, b, assoc), a < b: the greater of positive PMI over log2 of N, and of the cosine of the two tags' profiles, for pairs that have either.
+
+    A tag's association with itself is 1 and not listed.
+    """
+    near = tag_similarity(pairs, min_df, 0.0)
+    joined = pairs.select("a", "b", "pmi", "n").join(near, ["a", "b"], "full")
+    own = F.coalesce(F.greatest(F.col("pmi"), F.lit(0.0)) / F.greatest(F.log2("n"), F.lit(1e-9)), F.lit(0.0))
+    return joined.select("a", "b", F.round(F.greatest(own, F.coalesce("similarity", F.lit(0.0))), 6).alias("assoc")).where(F.col("assoc") > 0)
+
+
 def mean_vector(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """One row (mean): the array of averages; only (position, value) pairs are folded before the shuffle."""
     parts = vectors.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -77,49 +96,109 @@ def centered(vectors: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def knn(vectors: DataFrame, k: int, block: int = BLOCK, id_col: str = "card_id", vector: str = "vector") -> DataFrame:
-    """(a, b, cos): the exact k nearest of each by cosine, ties by id; vectors of length 1.
+    """(a, b, cos): the exact k nearest others of each by cosine, ties by id; vectors of length 1."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return nearest(rows, rows, k, block, others=True)
+
+
+def nearest(asking: DataFrame, answering: DataFrame, k: int, block: int = BLOCK, others: bool = False) -> DataFrame:
+    """(a, b, cos): for each row of asking the exact k rows of answering with the greatest cosine, ties by id; both: id, v (length 1).
 
-    The product is cut into blocks: a task holds two blocks of rows and their scores, and gives back k rows of
-    each of its rows, so memory doesn't grow with the table and all-pairs scores are never shuffled.
+    A task holds a block of asking rows, each with its k best so far, and all answering rows stream past it in order of id; so an answering row
+    is shuffled once for each block, scores never are, and memory doesn't grow with the tables.  Blocks are as large as parallelism allows, up
+    to `block` rows.  All pairs are compared: beyond some ten million rows an approximate index is the right tool, and this isn't one.
+    others: a row isn't its own answer.
     """
-    n = vectors.count()
-    k, blocks = min(k, n - 1), max(1, -(-n // block))
-    if k < 1:
-        return vectors.select(F.col(id_col).alias("a"), F.col(id_col).alias("b"), F.lit(0.0).alias("cos")).where("false")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("own"))
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    asks = rows.select("id", "v", F.lit(True).alias("asks"), F.col("own").alias("i"), F.explode(numbers).alias("j"))
-    answers = rows.select("id", "v", F.lit(False).alias("asks"), F.explode(numbers).alias("i"), F.col("own").alias("j"))
-
-    def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part.asks], part[~part.asks]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        ids_a, ids_b = a.id.to_numpy(), b.id.to_numpy()
-        scores = np.round(np.stack(a.v.to_numpy()) @ np.stack(b.v.to_numpy()).T, 6)
-        scores[ids_a[:, None] == ids_b[None, :]] = -np.inf
-        by_id = np.argsort(np.argsort(ids_b.astype(str), kind="stable"))
-        out_a, out_b, out_s = [], [], []
-        for r in range(len(ids_a)):
-            top = np.lexsort((by_id, -scores[r]))[:k]
-            top = top[np.isfinite(scores[r][top])]
-            out_a += [ids_a[r]] * len(top)
-            out_b += ids_b[top].tolist()
-            out_s += scores[r][top].tolist()
-        return pd.DataFrame({"a": out_a, "b": out_b, "cos": out_s})
-
-    kind = vectors.schema[id_col].dataType.simpleString()
-    local = asks.unionByName(answers).groupBy("i", "j").applyInPandas(nearest, f"a {kind}, b {kind}, cos double")
-    best = W.partitionBy("a").orderBy(F.desc("cos"), "b")
-    return local.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k).drop("_k")
+    spark, n = asking.sparkSession, asking.count()
+    id_type = asking.schema["id"].dataType
+    out = T.StructType([T.StructField("a", id_type), T.StructField("b", answering.schema["id"].dataType), T.StructField("cos", T.DoubleType())])
+    if k < 1 or not n:
+        return spark.createDataFrame([], out)
+    blocks = max(-(-n // block), min(2 * spark.sparkContext.defaultParallelism, -(-n // 256)))
+    asks = asking.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), F.lit(0).alias("kind"), "id", "v")
+    answers = answering.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.lit(1).alias("kind"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Nearest | None = None
+        for batch in batches:
+            group = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if held is None or held.group != group[start]:
+                    if held is not None:
+                        yield held.result()
+                    held = _Nearest(int(group[start]), k, part.schema.field(2).type, others)
+                held.take(part)
+        if held is not None:
+            yield held.result()
+
+    ordered = asks.unionByName(answers).repartition(blocks, "i").sortWithinPartitions("i", "kind", "id")
+    return ordered.mapInArrow(run, out)
+
+
+class _Nearest:
+    """The k best of a block's rows among the rows that have streamed past; rows come in order of id, so of equal scores the first stays."""
+
+    def __init__(self, group: int, k: int, kind: pa.DataType, others: bool):
+        self.group, self.k, self.kind, self.others = group, k, kind, others
+        self.ids: list = []
+        self.parts: list[np.ndarray] = []
+        self.rows: np.ndarray | None = None
+
+    def take(self, part: pa.RecordBatch) -> None:
+        kinds = np.asarray(part.column(1))
+        n_asks = int((kinds == 0).sum())
+        for asks, piece in ((True, part.slice(0, n_asks)), (False, part.slice(n_asks))):
+            if not piece.num_rows:
+                continue
+            values = piece.column(3).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
+            if asks:
+                self.ids += piece.column(2).to_pylist()
+                self.parts.append(values)
+            elif self.ids:
+                self._compare(piece.column(2).to_pylist(), values)
+
+    def _compare(self, ids: list, values: np.ndarray) -> None:
+        if self.rows is None:
+            self.rows = np.concatenate(self.parts)
+            self.place = {x: i for i, x in enumerate(self.ids)} if self.others else {}
+            self.scores = np.full((len(self.ids), self.k), -np.inf)
+            self.best = np.full((len(self.ids), self.k), None, object)
+        scores = np.round(self.rows @ values.T, 6)
+        for j, x in enumerate(ids):
+            if x in self.place:
+                scores[self.place[x], j] = -np.inf
+        every = np.concatenate([self.scores, scores], axis=1)
+        names = np.array(ids, object)
+        least = np.partition(every, -self.k, axis=1)[:, -self.k]
+        row, col = np.nonzero(every >= least[:, None])
+        order = np.lexsort((col, -every[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, rank = row[rank < self.k], col[rank < self.k], rank[rank < self.k]
+        old = col < self.k
+        best = np.full_like(self.best, None)
+        best[row[old], rank[old]] = self.best[row[old], col[old]]
+        best[row[~old], rank[~old]] = names[col[~old] - self.k]
+        kept = np.full_like(self.scores, -np.inf)
+        kept[row, rank] = every[row, col]
+        self.scores, self.best = kept, best
+
+    def result(self) -> pa.RecordBatch:
+        if self.rows is None:
+            return pa.RecordBatch.from_arrays([pa.array([], self.kind), pa.array([], self.kind), pa.array([], pa.float64())], names=["a", "b", "cos"])
+        row, rank = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array([self.ids[i] for i in row], self.kind), pa.array(self.best[row, rank].tolist(), self.kind), pa.array(self.scores[row, rank])], names=["a", "b", "cos"])
 
 
 def candidates(names: DataFrame, entities: DataFrame, k: int = 5, least: float = 0.6) -> DataFrame:
-    """(name, entity, cos): for each name the k entities nearest by cosine, of those with least or more; entities is the bounded side, and checked."""
-    held = F.broadcast(entities) if entities.limit(100_001).count() <= 100_000 else entities
-    scored = names.select("name", F.col("vector").alias("x")).crossJoin(held.select("entity", F.col("vector").alias("y"))).select("name", "entity", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cos"))
-    rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("cos"), "entity"))
-    return scored.withColumn("_k", rank).where((F.col("_k") <= k) & (F.col("cos") >= least)).drop("_k")
+    """(name, entity, cos): for each name the k entities nearest by cosine, of those with least or more."""
+    side = lambda rows, name: rows.select(F.col(name).alias("id"), unit(F.col("vector")).alias("v"))
+    found = nearest(side(names, "name"), side(entities, "entity"), k)
+    return found.where(F.col("cos") >= least).select(F.col("a").alias("name"), F.col("b").alias("entity"), "cos")
 
 
 def card_graph(vectors: DataFrame, cooc: DataFrame, k: int = 12, w_embedding: float = 0.5, w_cooccurrence: float = 0.5) -> DataFrame:

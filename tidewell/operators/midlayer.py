@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewell.functions.columns import visible
+from tidewell.functions.columns import blank, strip, visible
 from tidewell.operators.components import components
 
 MICROS_PER_DAY = 86_400_000_000
@@ -142,7 +142,7 @@ def fresh_cards(cards: DataFrame, members: DataFrame, viewer: str | None, baseli
     return rows.join(members, "card_id").groupBy("cluster_id").agg(F.count("*").alias("n_fresh"), F.max("card_ts").alias("newest"))
 
 
-def duplicate_pairs(signatures: DataFrame, containment: float = 0.85, hot: int = 10_000) -> DataFrame:
+def duplicate_pairs(signatures: DataFrame, containment: float = 0.85) -> DataFrame:
     """(a, b, common, jaccard, containment), a < b: cards whose source ids are the same or nearly contained; signatures: card_id, source_uuid.
 
     Pairs meet through an inverted index on the source id.  Cards with equal sets are folded to one before that, so a
@@ -166,18 +166,31 @@ def duplicate_groups(pairs: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def apply_constants(constants: DataFrame, ops: DataFrame, room: str) -> DataFrame:
-    """constants (constant_id, room, content, active) after ops (op, constant_id, content, shared): add, update, retire.
+    """constants (constant_id, room, shared, content, active) after a room's ops (seq, op, constant_id, content, shared) in order of seq.
 
-    An operation reaches only constants of its own room; a shared addition has a null room.
+    add: of content that isn't blank, under its id or one made of room, seq and content.  update: of the room's own constants; the last given
+    content and the last given flag hold, null means not given.  retire: of the room's own.  Nobody changes another room's constant, shared or not.
     """
-    changes = ops.where("op <> 'add'").groupBy("constant_id").agg(F.max((F.col("op") == "retire").cast("int")).alias("retire"), F.max(F.when(F.col("op") == "update", F.col("content"))).alias("new_content"))
-    mine = F.col("room").isNull() | (F.col("room") == room)
+    changes = ops.where("op IN ('update', 'retire')").groupBy("constant_id").agg(
+        F.max((F.col("op") == "retire").cast("int")).alias("_retire"),
+        *[F.max_by(F.when(F.col("op") == "update", F.col(c)), F.when((F.col("op") == "update") & F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in ("content", "shared")],
+    )
+    own = F.col("room") == room
     joined = constants.join(changes, "constant_id", "left")
-    old = joined.select("constant_id", "room", F.when(mine, F.coalesce("new_content", "content")).otherwise(F.col("content")).alias("content"), F.when(mine & (F.col("retire") == 1), False).otherwise(F.col("active")).alias("active"))
-    added = ops.where("op = 'add'").select("constant_id", F.when(F.col("shared"), F.lit(None)).otherwise(F.lit(room)).cast("string").alias("room"), "content", F.lit(True).alias("active"))
+    old = joined.select(
+        "constant_id", "room", F.when(own, F.coalesce("_shared", "shared")).otherwise(F.col("shared")).alias("shared"), F.when(own, F.coalesce(strip(F.col("_content")), "content")).otherwise(F.col("content")).alias("content"),
+        F.when(own & (F.col("_retire") == 1), False).otherwise(F.col("active")).alias("active"),
+    )
+    made = F.concat(F.lit("k_"), F.substring(F.sha2(F.concat_ws("|", F.lit(room), F.col("seq").cast("string"), "content").cast("binary"), 256), 1, 8))
+    added = ops.where("op = 'add'").where(~blank(F.col("content"))).select(F.coalesce("constant_id", made).alias("constant_id"), F.lit(room).alias("room"), F.coalesce("shared", F.lit(False)).alias("shared"), strip(F.col("content")).alias("content"), F.lit(True).alias("active"))
     return old.unionByName(added)
 
 
+def active_constants(constants: DataFrame, room: str) -> DataFrame:
+    """What a room is shown: the active constants that are shared, and its own."""
+    return constants.where(F.col("active") & (F.col("shared") | (F.col("room") == room)))
+
+
 def trim_paragraphs(texts: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """(key, text): leading paragraphs while their characters stay within most; the first one stays always."""
     parts = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("i", "p"))
@@ -186,15 +199,39 @@ def trim_paragraphs(texts: DataFrame, key: str, text: str, most: int) -> DataFra
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "\n").alias(text))
 
 
-def mainline(members: DataFrame, cards: DataFrame, now: str, bright_days: int = 6) -> DataFrame:
-    """(cluster_id, first_card, last_card, bright): the arc of each cluster; a head that an earlier cluster has used falls back to the next unused card.
+def mainline(clusters: DataFrame, closure: DataFrame, members: DataFrame, cards: DataFrame, now: str, bright_days: int = 6, least: int = 4) -> DataFrame:
+    """(root, cluster_id, k, n_cards, born, last_day, bright, head, tail, near): the arc of each child of a root with `least` cards or more.
+
+    A child's cards are those of all members, secondary ones included, of the child and all below it.  The children of a root go by the day
+    of their first card, then by name; each is headed by its first headline that no sibling before it is headed by, or by its first one.  near: the last
+    headline but one of a bright child (last card at most bright_days before now's day) of three cards or more, if it differs from the last.
+    clusters: cluster_id, parent.  closure: cluster_id, member.
 
-    The rule is sequential over clusters by first time, so heads are dealt by rank: a card's first cluster keeps it.
+    A child before the k-th has used k - 1 heads at most, so k headlines of a child are all that the sequential rule needs; it is
+    folded over the children of a root, a row each.
     """
-    rows = members.join(cards.select("card_id", "card_ts", "headline"), "card_id")
-    order = F.struct("card_ts", "card_id")
-    begins = W.partitionBy("card_id").orderBy("cluster_id")
-    heads = rows.withColumn("_k", F.row_number().over(begins)).where("_k = 1").groupBy("cluster_id").agg(F.min_by("card_id", order).alias("first_card"))
-    last = rows.groupBy("cluster_id").agg(F.max_by("card_id", order).alias("last_card"), F.max("card_ts").alias("last_at"))
-    bright = _days(F.lit(now).cast("timestamp_ntz"), F.col("last_at")) <= bright_days
-    return last.join(heads, "cluster_id", "left").select("cluster_id", F.coalesce("first_card", "last_card").alias("first_card"), "last_card", bright.alias("bright"))
+    kids = clusters.join(clusters.where("parent IS NULL").select(F.col("cluster_id").alias("parent")), "parent").select(F.col("parent").alias("root"), "cluster_id")
+    placed = kids.join(closure, "cluster_id").join(members.select(F.col("cluster_id").alias("member"), "card_id"), "member")
+    rows = placed.join(cards.where("card_ts IS NOT NULL").select("card_id", "card_ts", "headline"), "card_id").select("root", "cluster_id", "card_id", "card_ts", "headline")
+    down = W.partitionBy("root", "cluster_id").orderBy(F.desc("card_ts"), F.desc("card_id"))
+    ends = rows.withColumn("_d", F.row_number().over(down)).groupBy("root", "cluster_id").agg(
+        F.count("*").alias("n_cards"), F.to_date(F.min("card_ts")).alias("born"), F.to_date(F.max("card_ts")).alias("last_day"),
+        F.max(F.when(F.col("_d") == 1, F.col("headline"))).alias("tail"), F.max(F.when(F.col("_d") == 2, F.col("headline"))).alias("second"),
+    ).where(F.col("n_cards") >= least)
+    ranked = ends.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("born", "cluster_id")))
+    first = rows.groupBy("root", "cluster_id", "headline").agg(F.min(F.struct("card_ts", "card_id")).alias("at"))
+    order = W.partitionBy("root", "cluster_id").orderBy("at")
+    heads = first.withColumn("_p", F.row_number().over(order)).join(ranked.select("root", "cluster_id", "k"), ["root", "cluster_id"]).where("_p <= k")
+    heads = heads.groupBy("root", "cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "headline"))), lambda x: x["headline"]).alias("heads"))
+    folded = ranked.join(heads, ["root", "cluster_id"]).groupBy("root").agg(F.sort_array(F.collect_list(F.struct("k", "cluster_id", "heads"))).alias("kids"))
+    start = F.array().cast("array<string>")
+
+    def step(used, kid):
+        free = F.filter(kid["heads"], lambda h: ~F.array_contains(used, h))
+        return F.concat(used, F.array(F.coalesce(F.get(free, F.lit(0)), kid["heads"][0])))
+
+    dealt = folded.select("root", "kids", F.aggregate("kids", start, step).alias("used"))
+    named = dealt.select("root", F.explode(F.arrays_zip(F.transform("kids", lambda x: x["cluster_id"]).alias("cluster_id"), F.col("used").alias("head"))).alias("x")).select("root", "x.*")
+    bright = F.date_diff(F.to_date(F.lit(now)), "last_day") <= bright_days
+    near = F.when(bright & (F.col("n_cards") >= 3) & ~F.col("second").eqNullSafe(F.col("tail")), F.col("second"))
+    return ranked.join(named, ["root", "cluster_id"]).select("root", "cluster_id", "k", "n_cards", "born", "last_day", bright.alias("bright"), "head", "tail", near.alias("near"))

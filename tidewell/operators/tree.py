@@ -64,11 +64,12 @@ def missing_parents(nodes: DataFrame) -> DataFrame:
 
 
 def branches(nodes: DataFrame) -> DataFrame:
-    """(node_id, branch): of siblings the first by (occurred_at, node_id) stays in its parent's branch, every other opens its own.
+    """(node_id, branch): of siblings the first to arrive, by (batch, occurred_at, node_id), stays in its parent's branch, every other opens its own.
 
-    A branch is named by its first node.
+    batch: the number of the load that brought a node, where nodes has it.  A branch is named by its first node.
     """
-    first = F.row_number().over(W.partitionBy("parent_id").orderBy("occurred_at", "node_id")) == 1
+    order = [*(["batch"] if "batch" in nodes.columns else []), "occurred_at", "node_id"]
+    first = F.row_number().over(W.partitionBy("parent_id").orderBy(*order)) == 1
     inherit = nodes.withColumn("parent_id", F.when(F.col("parent_id").isNotNull() & first, F.col("parent_id")))
     return node_root(inherit).select("node_id", F.col("root").alias("branch"))
 
@@ -90,6 +91,35 @@ def branch_turns(paths: DataFrame) -> DataFrame:
     return numbered.select("branch", "node_id", "round", F.row_number().over(W.partitionBy("branch", "round").orderBy("pos")).alias("message_seq"), "is_context")
 
 
+def topological(nodes: DataFrame) -> DataFrame:
+    """(node_id, pos): parents before children, then by (occurred_at, node_id); places are counted depth by depth, so no window spans the table."""
+    placed = nodes.join(node_root(nodes).select("node_id", "depth"), "node_id")
+    sizes = placed.groupBy("depth").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("depth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a depth
+    rank = F.row_number().over(W.partitionBy("depth").orderBy(F.col("occurred_at").asc_nulls_first(), "node_id"))
+    return placed.withColumn("rank", rank).join(starts.select("depth", "start"), "depth").select("node_id", (F.col("start") + F.col("rank") - 1).cast("long").alias("pos"))
+
+
+def numbered_clusters(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cluster_id, name, parent_name): names c0001, c0002, ... in pre-order, siblings by size, greatest first, then by id.
+
+    clusters: cluster_id, parent.  sizes: cluster_id, size.  A cluster's key is the path of (size, id) from its root, whose order is the pre-order.
+    """
+    sized = clusters.join(sizes, "cluster_id", "left").select("cluster_id", "parent", F.struct((-F.coalesce("size", F.lit(0))).alias("less"), "cluster_id").alias("own"))
+    closure = ancestors(sized.select(F.col("cluster_id").alias("node_id"), F.col("parent").alias("parent_id")), sized.select(F.col("cluster_id").alias("tip")))
+    keyed = closure.join(sized.select(F.col("cluster_id").alias("node_id"), "own"), "node_id").groupBy(F.col("tip").alias("cluster_id"))
+    keys = keyed.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "own"))), lambda x: x["own"]).alias("key"))
+    named = keys.select("cluster_id", F.format_string("c%04d", F.row_number().over(W.orderBy("key"))).alias("name"))  # a row a cluster
+    above = named.select(F.col("cluster_id").alias("parent"), F.col("name").alias("parent_name"))
+    return clusters.select("cluster_id", "parent").join(named, "cluster_id").join(above, "parent", "left").select("cluster_id", "name", "parent_name")
+
+
+def children(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(parent, cluster_id, size, k): children of each cluster, and the roots below null, by size, greatest first."""
+    joined = clusters.join(sizes, "cluster_id")
+    return joined.select("parent", "cluster_id", "size", F.row_number().over(W.partitionBy("parent").orderBy(F.desc("size"), "cluster_id")).alias("k"))
+
+
 def subtree(clusters: DataFrame) -> DataFrame:
     """(cluster_id, member): every cluster with all clusters below it, itself included; from (cluster_id, parent)."""
     return ancestors(clusters.select(F.col("cluster_id").alias("node_id"), F.col("parent").alias("parent_id")), clusters.select(F.col("cluster_id").alias("tip"))).select(F.col("node_id").alias("cluster_id"), F.col("tip").alias("member"))

@@ -57,6 +57,25 @@ def unknown_room(rows: DataFrame, rooms: DataFrame) -> DataFrame:
     return _named(rows.join(rooms, ["source", "room"], "left_anti"), "unknown room", "room")
 
 
+def with_room(rows: DataFrame, policy: DataFrame) -> DataFrame:
+    """rows (source, route, and a room that may be null) with the room that the policy (source, route, room) gives: by source and route, or the
+    row's own room where the policy names it for that source; else null, which `unrouted` lists."""
+    exact = policy.select("source", "route", F.col("room").alias("_routed"))
+    allowed = policy.select("source", F.col("room").alias("_own")).distinct()
+    joined = rows.join(exact, ["source", "route"], "left").join(allowed, (rows["source"] == allowed["source"]) & (rows["room"] == allowed["_own"]), "left").drop(allowed["source"])
+    return joined.withColumn("room", F.coalesce("_routed", "_own")).drop("_routed", "_own")
+
+
+def unrouted(rows: DataFrame) -> DataFrame:
+    return _named(rows.where("room IS NULL"), "no room", "route")
+
+
+def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name, before, after) of counts (name, n) that a maintenance run has changed; a count that only one side has is a change."""
+    both = before.select("name", F.col("n").alias("before")).join(after.select("name", F.col("n").alias("after")), "name", "full")
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def all_of(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 

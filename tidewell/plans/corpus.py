@@ -89,7 +89,7 @@ class Corpus:
     def doc_tokens(self) -> DataFrame:
         """(doc_id, token) once each, of six characters or more."""
         words = self.table("documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-        return words.where(F.length("token") >= 6)
+        return cut(words.where(F.length("token") >= 6), "doc_tokens")  # texts are cut into words once
 
     @cached_property
     def card_tags(self) -> DataFrame:

@@ -134,13 +134,21 @@ def health(c):
     return cards.crossJoin(c.turns.agg(F.coalesce(day("ts"), F.lit(0)).cast("long").alias("turns_24h")))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(a) > 0 THEN CASE WHEN regexp_matches(a, '\s') THEN a ELSE '' END ELSE b END AS cleaned FROM (
-  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim(split_part(text, chr(10), 1)) ELSE '' END AS a, trim(split_part(text, chr(10), 1)) AS b FROM documents)""")
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 12 IN (0, 1, 11) THEN {STRIPPED} WHEN doc_id % 12 = 7 THEN CASE WHEN regexp_full_match({STRIPPED}, '[\p{{L}}\p{{M}}\p{{N}}_./:@-]*') THEN '' ELSE {STRIPPED} END
+  WHEN doc_id % 12 = 8 THEN 'I typed <command-name> today: ' || regexp_replace(text, '\s+$', '') WHEN doc_id % 12 = 9 THEN '修好它。' ELSE '' END AS cleaned FROM documents""")
 def clean_messages(c):
-    """First lines of documents, wrapped as an injected reminder (doc_id % 3 = 1) or as a command echo (0), come out clean."""
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<command-name>/x</command-name><command-args>"), line, F.lit("</command-args>")))
-    raw = raw.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<system-reminder>a\nb</system-reminder>"), line)).otherwise(line)
+    """Whole documents as users' messages, plain and in each wrapper that a runtime puts around text."""
+    text, d = F.col("text"), F.col("doc_id") % 12
+    wrap = lambda before, after="": F.concat(F.lit(before), text, F.lit(after))
+    raw = (
+        F.when(d == 1, wrap("<system-reminder>a\nb</system-reminder>")).when(d == 2, wrap("<task-notification>")).when(d == 3, wrap('{"type":"result","x":1} '))
+        .when(d == 4, F.lit(" [Request interrupted by user]\n")).when(d == 5, wrap("<local-command-stdout>")).when(d == 6, F.lit("<command-name>/model</command-name>\n<command-args>maker/opus-4.1</command-args>"))
+        .when(d == 7, wrap("<command-name>/goal</command-name>\n<command-args> ", "\n</command-args>")).when(d == 8, wrap("I typed <command-name> today: "))
+        .when(d == 9, F.lit("<command-name>/x</command-name><command-args>修好它。</command-args>")).when(d == 10, wrap("[heartbeat] 12:00\n# atrun ")).when(d == 11, wrap("", "\n<system-reminder>x</system-reminder>\n")).otherwise(text)
+    )
     return c.table("documents").select("doc_id", clean_user_text(raw).alias("cleaned"))
 
 

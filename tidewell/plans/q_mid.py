@@ -163,19 +163,33 @@ def dup_groups(c):
     return m.duplicate_groups(m.duplicate_pairs(signatures(c)), c.cards)
 
 
-@query(
-    f"""SELECT CAST(vec_id AS VARCHAR) AS constant_id, room, CASE WHEN (room IS NULL OR room = '{VIEWER}') AND op = 'update' THEN 'changed ' || vec_id ELSE 'old ' || vec_id END AS content,
-      NOT ((room IS NULL OR room = '{VIEWER}') AND op = 'retire') AS active
-    FROM (SELECT vec_id, CASE WHEN label = 0 THEN NULL ELSE 'src' || label END AS room, CASE vec_id % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'retire' ELSE 'none' END AS op FROM embeddings)
-    UNION ALL SELECT 'new' || vec_id, CASE WHEN label % 2 = 0 THEN NULL ELSE '{VIEWER}' END, 'added ' || vec_id, true FROM embeddings"""
-)
-def apply_constants(c):
+CONSTANTS = {
+    "kept_t": f"""SELECT CAST(vec_id AS VARCHAR) AS constant_id, room, CASE WHEN mine AND vec_id % 4 = 2 THEN vec_id % 8 = 2 ELSE label % 2 = 0 END AS shared,
+      CASE WHEN mine AND vec_id % 4 = 0 THEN 'a last ' || vec_id ELSE 'old ' || vec_id END AS content, NOT (mine AND vec_id % 4 = 1) AS active
+    FROM (SELECT *, CASE WHEN label % 3 = 0 THEN '{VIEWER}' ELSE 'src' || (label + 10) END AS room, label % 3 = 0 AS mine FROM embeddings)
+    UNION ALL SELECT 'new' || vec_id, '{VIEWER}', label % 2 = 1, 'added ' || vec_id, true FROM embeddings WHERE vec_id % 5 <> 0"""
+}
+
+
+def constants(c):
+    """Constants of two kinds of rooms, and ops on all of them: two updates of one constant, retirements, a change of the flag alone, additions of which every fifth is blank."""
     e, v = c.table("embeddings"), F.col("vec_id").cast("string")
-    constants = e.select(v.alias("constant_id"), F.when(F.col("label") == 0, F.lit(None)).otherwise(F.concat(F.lit("src"), F.col("label").cast("string"))).alias("room"), F.concat(F.lit("old "), v).alias("content"), F.lit(True).alias("active"))
-    kind = F.when(F.col("vec_id") % 3 == 0, "update").when(F.col("vec_id") % 3 == 1, "retire")
-    change = e.select(kind.alias("op"), v.alias("constant_id"), F.concat(F.lit("changed "), v).alias("content"), F.lit(False).alias("shared")).where("op IS NOT NULL")
-    add = e.select(F.lit("add").alias("op"), F.concat(F.lit("new"), v).alias("constant_id"), F.concat(F.lit("added "), v).alias("content"), (F.col("label") % 2 == 0).alias("shared"))
-    return m.apply_constants(constants, change.unionByName(add), VIEWER)
+    old = e.select(v.alias("constant_id"), F.when(F.col("label") % 3 == 0, F.lit(VIEWER)).otherwise(F.concat(F.lit("src"), (F.col("label") + 10).cast("string"))).alias("room"), (F.col("label") % 2 == 0).alias("shared"), F.concat(F.lit("old "), v).alias("content"), F.lit(True).alias("active"))
+    none, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    op = lambda rows, seq, kind, name, content, shared: rows.select((F.col("vec_id") * 4 + seq).alias("seq"), F.lit(kind).alias("op"), name.alias("constant_id"), content.alias("content"), shared.alias("shared"))
+    ops = op(e.where("vec_id % 4 = 0"), 1, "update", v, F.concat(F.lit(" a last "), v, F.lit(" ")), flag).unionByName(op(e.where("vec_id % 4 = 0"), 0, "update", v, F.concat(F.lit("z first "), v), flag))
+    ops = ops.unionByName(op(e.where("vec_id % 4 = 1"), 0, "retire", v, none, flag)).unionByName(op(e.where("vec_id % 4 = 2"), 0, "update", v, none, F.col("vec_id") % 8 == 2))
+    return old, ops.unionByName(op(e, 2, "add", F.concat(F.lit("new"), v), F.when(F.col("vec_id") % 5 == 0, " \n").otherwise(F.concat(F.lit("added "), v)), F.col("label") % 2 == 1))
+
+
+@query("SELECT * FROM kept_t", **CONSTANTS)
+def apply_constants(c):
+    return m.apply_constants(*constants(c), VIEWER)
+
+
+@query(f"SELECT constant_id, content FROM kept_t WHERE active AND (shared OR room = '{VIEWER}')", **CONSTANTS)
+def active_constants(c):
+    return m.active_constants(m.apply_constants(*constants(c), VIEWER), VIEWER).select("constant_id", "content")
 
 
 @query("SELECT doc_id, string_agg(p, chr(10) ORDER BY i) AS text FROM (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE r <= 700 OR i = 1 GROUP BY doc_id")
@@ -183,9 +197,26 @@ def trim_digest(c):
     return m.trim_paragraphs(c.table("documents"), "doc_id", "text", 700)
 
 
-@query(
-    f"""SELECT cluster_id, arg_min(card_id, card_ts) AS first_card, arg_max(card_id, card_ts) AS last_card, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(card_ts))) // 86400000000 <= 6 AS bright
-    FROM members JOIN cards USING (card_id) GROUP BY cluster_id"""
-)
+MAINLINE = CLOSURE | {
+    "every_t": "SELECT card_id, cluster_id FROM members UNION ALL SELECT 'd#' || vec_id, 'L' || ((label + 3) % 10 % 3) || '.' || ((label + 3) % 10) FROM embeddings WHERE vec_id % 3 = 0 AND vec_id IN (SELECT doc_id FROM documents)",
+    "kid_rows_t": "SELECT x.parent AS root, x.cluster_id, c.card_id, card_ts, headline FROM clusters x JOIN clusters r ON r.cluster_id = x.parent AND r.parent IS NULL JOIN closure_t t ON t.cluster_id = x.cluster_id JOIN every_t m ON m.cluster_id = t.member JOIN cards c ON c.card_id = m.card_id",
+    "kids_t": """SELECT *, row_number() OVER (PARTITION BY root ORDER BY born, cluster_id) AS k FROM (SELECT root, cluster_id, count(*) AS n_cards, CAST(min(card_ts) AS DATE) AS born, CAST(max(card_ts) AS DATE) AS last_day,
+      list(headline ORDER BY card_ts, card_id) AS heads FROM kid_rows_t GROUP BY root, cluster_id HAVING count(*) >= 4)""",
+    "fold_t": """RECURSIVE SELECT root, k, heads[1] AS head, [heads[1]] AS used FROM kids_t WHERE k = 1
+      UNION ALL SELECT n.root, n.k, coalesce(list_filter(n.heads, lambda h: NOT list_contains(f.used, h))[1], n.heads[1]), list_append(f.used, coalesce(list_filter(n.heads, lambda h: NOT list_contains(f.used, h))[1], n.heads[1]))
+      FROM fold_t f JOIN kids_t n ON n.root = f.root AND n.k = f.k + 1""",
+}
+MAINLINE_SQL = f"""SELECT x.root, x.cluster_id, CAST(x.k AS INTEGER) AS k, n_cards, born, last_day, bright, head, heads[-1] AS tail, CASE WHEN bright AND heads[-2] <> heads[-1] THEN heads[-2] END AS near
+  FROM (SELECT *, DATE '{NOW[:10]}' - last_day <= 6 AS bright FROM kids_t) x JOIN fold_t f ON f.root = x.root AND f.k = x.k"""
+
+
+def all_members(c):
+    """Primary members, and every third card also in another leaf, of its own root or of another."""
+    other = (F.col("label") + 3) % 10
+    e = c.table("embeddings").where("vec_id % 3 = 0").join(c.table("documents").select(F.col("doc_id").alias("vec_id")), "vec_id")
+    return c.members.unionByName(e.select(F.concat(F.lit("d#"), F.col("vec_id").cast("string")).alias("card_id"), F.concat(F.lit("L"), (other % 3).cast("string"), F.lit("."), other.cast("string")).alias("cluster_id")))
+
+
+@query(MAINLINE_SQL, **MAINLINE)
 def mainline_paths(c):
-    return m.mainline(c.members, c.cards, NOW)
+    return m.mainline(c.clusters, tree.subtree(c.clusters), all_members(c), c.cards, NOW)

@@ -8,11 +8,12 @@ from tidewell.plans.q_browse import SEEN
 from tidewell.plans.registry import VIEWER, query
 
 TEXT = "thrend thonea"
-WORDS = s.terms(TEXT)
+GROUPS = s.terms(TEXT)
+WORDS = s.flat(GROUPS)
 TAG_WORDS = ["ingon", "enver"]
 HISTORY = ["thing", "tion the"]
 FIELDS_SQL = " UNION ALL ".join(
-    rf"SELECT card_id, room, regexp_matches(share, '\S') AS shared, '{f}' AS field, unnest(regexp_extract_all(lower({f}), '[\p{{L}}\p{{N}}]+')) AS token FROM cards" for f in s.FIELDS
+    rf"SELECT card_id, room, regexp_matches(share, '\S') AS shared, '{f}' AS field, unnest(regexp_extract_all(lower(strip_accents({f})), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS token FROM cards" for f in s.FIELDS
 )
 INDEX = {
     "postings_t": f"SELECT card_id, room, shared, field, token, count(*) AS tf FROM ({FIELDS_SQL}) GROUP BY ALL",
@@ -37,24 +38,45 @@ def both_sql(every: bool, prefix: bool) -> str:
     return f"SELECT card_id, max(score) AS score FROM ({a} UNION ALL {b}) GROUP BY card_id"
 
 
-TAGGED = f"SELECT c.card_id, card_ts, string_agg(DISTINCT tag, '、' ORDER BY tag) AS why FROM cards c JOIN card_tags t ON t.card_id = c.card_id WHERE {SEEN} AND ({' OR '.join(f"contains(lower(tag), '{w}')" for w in WORDS)}) GROUP BY ALL"
+TAGGED = f"SELECT c.card_id, card_ts, string_agg(DISTINCT tag, '、' ORDER BY tag) AS why FROM cards c JOIN card_tags t ON t.card_id = c.card_id WHERE {SEEN} AND ({' OR '.join(f"contains(lower(tag), '{w}')" for w in [TEXT, *WORDS])}) GROUP BY ALL"
 
 
 @query("SELECT card_id, field, token, tf FROM postings_t", **INDEX)
 def postings(c):
-    return s.postings(c.cards).select("card_id", "field", "token", "tf")
+    return s.postings(c.cards).where("tf > 0").select("card_id", "field", "token", F.col("tf").cast("long").alias("tf"))
 
 
 @query(score_sql("'headline', 'share', 'private'", "true", False, False), **INDEX)
 def bm25(c):
-    index = s.postings(c.cards)
-    return s.bm25(index, s.totals_of(index), WORDS, list(s.FIELDS), F.lit(True), every=False, prefix=False)
+    index = s.matching(c.cards, GROUPS)
+    return s.bm25(index, s.totals_of(index), GROUPS, list(s.FIELDS), F.lit(True), every=False, prefix=False)
 
 
 @query(score_sql("'private'", f"room = '{VIEWER}'", False, True), **INDEX)
 def search_private(c):
-    index = s.postings(c.cards)
-    return s.bm25(index, s.totals_of(index), WORDS, ["private"], F.col("room") == VIEWER, every=False, prefix=True)
+    index = s.matching(c.cards, GROUPS)
+    return s.bm25(index, s.totals_of(index), GROUPS, ["private"], F.col("room") == VIEWER, every=False, prefix=True)
+
+
+WIDE = {
+    "wide_t": """SELECT 'd#' || doc_id AS card_id, 'Caf\u00e9 na\u00efve_' || (doc_id % 7) || ' x' AS headline, '\u6211\u4eec' || repeat('\u751f\u65e5', CAST(1 + doc_id % 3 AS INTEGER)) || CASE WHEN doc_id % 2 = 0 THEN '\u7684' ELSE '' END || repeat('\u793c\u7269', CAST(doc_id % 4 AS INTEGER)) AS share FROM documents""",
+    "wide_f": """SELECT card_id, CASE WHEN contains(share, '\u793c\u7269') THEN least((length(share) - length(replace(share, '\u751f\u65e5', ''))) / 2, (length(share) - length(replace(share, '\u793c\u7269', ''))) / 2) ELSE 0 END AS f, 2 * length(share) - 1 + 4 AS length FROM wide_t""",
+}
+
+
+@query(
+    """SELECT card_id, round(greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / a)) + greatest(ln((n - n + 0.5) / (n + 0.5)), 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / a)), 6) AS score
+    FROM wide_f, (SELECT count(*) AS n, count(*) FILTER (f > 0) AS df1, avg(length) AS a FROM wide_f) WHERE f > 0""",
+    **WIDE,
+)
+def search_wide(c):
+    """Words inside unspaced text, with something between their parts, and words with accents, asked without."""
+    d = F.col("doc_id")
+    gift = F.concat(F.lit("\u6211\u4eec"), F.repeat(F.lit("\u751f\u65e5"), (d % 3 + 1).cast("int")), F.when(d % 2 == 0, "\u7684").otherwise(""), F.repeat(F.lit("\u793c\u7269"), (d % 4).cast("int")))
+    rows = c.table("documents").select(F.concat(F.lit("d#"), d.cast("string")).alias("card_id"), F.concat(F.lit("Caf\u00e9 na\u00efve_"), (d % 7).cast("string"), F.lit(" x")).alias("headline"), gift.alias("share"), F.lit("").alias("private"), F.lit("r").alias("room"))
+    groups = s.terms("\u751f\u65e5\u793c\u7269 CAFE")
+    index = s.matching(rows, groups)
+    return s.bm25(index, s.totals_of(index), groups, ["headline", "share"], F.lit(True), every=True, prefix=False)
 
 
 @query(TAGGED.replace(WORDS[0], TAG_WORDS[0]).replace(WORDS[1], TAG_WORDS[1]))
@@ -70,7 +92,7 @@ def tag_match(c):
     **INDEX,
 )
 def search(c):
-    return s.search(c.cards, s.postings(c.cards), c.card_tags, TEXT, VIEWER, 100)
+    return s.search(c.cards, None, c.card_tags, TEXT, VIEWER, 100)
 
 
 @query(

@@ -62,30 +62,54 @@ def snapshot_select(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_problems(rows: DataFrame) -> DataFrame:
-    """(session, problem): a chosen snapshot that lost nodes of an older one, or that differs from another of its time."""
+    """(session, problem): a chosen snapshot that lost nodes of another one, or that differs from one as recent and as large."""
     chosen = snapshot_select(rows)
-    kept = rows.join(chosen, ["session", "path", "chat_index"], "left_semi").select("session", "uuid", F.col("text").alias("kept_text"), F.col("updated_at").alias("kept_at"))
-    other = rows.join(kept, ["session", "uuid"], "left")
-    lost = other.where("kept_at IS NULL").select("session", F.lit("lost node").alias("problem"))
-    differs = other.where("kept_at = updated_at AND kept_text <> text").select("session", F.lit("differs").alias("problem"))
-    return lost.unionByName(differs).distinct()
+    place = ["session", "path", "chat_index"]
+    kept = rows.join(chosen, place, "left_semi")
+    lost = rows.join(kept.select("session", "uuid").distinct(), ["session", "uuid"], "left_anti").select("session", F.lit("omits earlier nodes").alias("problem"))
+    facts = rows.groupBy(*place, "updated_at", "size").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("uuid", "parent", "role", "text", "created_at")))).cast("binary"), 256).alias("facts"))
+    best = facts.join(chosen, place, "left_semi").select("session", F.col("updated_at").alias("at"), F.col("size").alias("most"), F.col("facts").alias("own"))
+    differs = facts.join(best, "session").where("updated_at <=> at AND size = most AND facts <> own").select("session", F.lit("ambiguous snapshots").alias("problem"))
+    return lost.unionByName(differs).groupBy("session").agg(F.min("problem").alias("problem"))
 
 
 def archive_tree(rows: DataFrame, room: str, source: str = "archive") -> DataFrame:
-    """(node_id, parent_id, role, text, occurred_at, session, detached): a parent that isn't there leaves a detached root."""
-    kept = rows.join(snapshot_select(rows), ["session", "path", "chat_index"], "left_semi")
+    """(node_id, parent_id, role, text, occurred_at, session, detached): a parent that isn't there leaves a detached root.
+
+    A conversation with a problem of `snapshot_problems` stops the load.
+    """
+    kept = rows.join(snapshot_select(rows), ["session", "path", "chat_index"], "left_semi").join(snapshot_problems(rows), "session", "left")
+    stopped = F.raise_error(F.concat("problem", F.lit(": "), "session"))
+    kept = kept.withColumn("uuid", F.when(F.col("problem").isNotNull(), stopped).otherwise(F.col("uuid"))).drop("problem")
     known = kept.select("session", F.col("uuid").alias("parent"), F.lit(True).alias("known"))
     linked = kept.join(known, ["session", "parent"], "left")
     node = lambda c: canonical_id("node", F.lit(source), F.lit(room), c)
     return linked.select(node(F.col("uuid")).alias("node_id"), F.when(F.col("known"), node(F.col("parent"))).alias("parent_id"), "role", "text", canonical_time(F.col("created_at")).alias("occurred_at"), "session", (F.col("parent").isNotNull() & F.col("known").isNull()).alias("detached"))
 
 
+def archive_report(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """One row of counts of an archive load: files, snapshots, contexts, superseded snapshots, nodes, roots, detached roots, first and last time."""
+    snaps = rows.select("path", "session", "chat_index").distinct().agg(F.countDistinct("path").alias("files"), F.count("*").alias("snapshots"), F.countDistinct("session").alias("contexts"))
+    nodes = tree.agg(
+        F.count("*").alias("nodes"), F.sum(F.col("parent_id").isNull().cast("long")).alias("roots"), F.sum(F.col("detached").cast("long")).alias("detached_roots"),
+        F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"),
+    )
+    return snaps.withColumn("superseded", F.col("snapshots") - F.col("contexts")).crossJoin(nodes)  # one row each
+
+
 def normalized_messages(files: DataFrame, room_of_route: dict[str, str]) -> DataFrame:
     """Candidates of strict envelopes; an unknown route or format is an error, never a default."""
     routes = F.create_map(*[F.lit(x) for pair in room_of_route.items() for x in pair]) if room_of_route else F.create_map(F.lit(""), F.lit(""))
     e = files.select("path", F.from_json("value", NORMALIZED, {"mode": "FAILFAST"}).alias("e"))
     checked = e.select("path", "e.*", F.when(F.col("e.format") != NORMALIZED_TAG, F.raise_error(F.lit("unknown format"))).otherwise(F.coalesce(F.try_element_at(routes, F.col("e.source_route")), F.raise_error(F.concat(F.lit("unknown route "), F.col("e.source_route"))))).alias("room"))
     rows = checked.select("path", "source", "room", F.explode("messages").alias("m"))
+    # Identities and sequences are the sender's: a repeat, a gap in a name or a number below zero stops the load.
+    copies = F.count("*").over(W.partitionBy("source", "m.native_message_id"))
+    places = F.count("*").over(W.partitionBy("source", "m.native_session_id", "m.source_sequence"))
+    named = ~blank(F.col("m.native_message_id")) & ~blank(F.col("m.native_session_id")) & F.coalesce(F.col("m.role").isin("user", "assistant"), F.lit(False))
+    problem = F.when(~named, "no identity or role").when(F.coalesce(F.col("m.source_sequence") < 0, F.lit(True)), "bad sequence").when(F.col("copies") > 1, "message twice").when(F.col("places") > 1, "sequence twice")
+    marked = rows.withColumn("copies", copies).withColumn("places", places).withColumn("problem", problem)
+    rows = marked.withColumn("source", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("problem", F.lit(": "), F.coalesce("m.native_message_id", F.lit("null"))))).otherwise(F.col("source")))
     return rows.select(
         "path", "source", "room", canonical_id("session", F.col("source"), F.col("m.native_session_id")).alias("session_id"), canonical_id("message", F.col("source"), F.col("m.native_message_id")).alias("source_uuid"),
         "m.role", "m.text", F.try_to_timestamp("m.occurred_at").alias("ts"), F.col("m.source_sequence").alias("major"), F.col("m.native_message_id").alias("minor"), canonical_time(F.col("m.occurred_at")).alias("occurred_at"),
@@ -93,8 +117,11 @@ def normalized_messages(files: DataFrame, room_of_route: dict[str, str]) -> Data
 
 
 def tree_nodes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, observations) of strict tree envelopes."""
-    e = files.select(F.from_json("value", TREE, {"mode": "FAILFAST"}).alias("e")).select("e.*").where(F.col("format") == TREE_TAG)
+    """(nodes, observations) of strict tree envelopes; another format stops the load."""
+    e = files.select(F.from_json("value", TREE, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    strange = F.coalesce(F.col("format") != TREE_TAG, F.lit(True))
+    for part in ("nodes", "observations"):
+        e = e.withColumn(part, F.when(strange, F.raise_error(F.lit("unknown format"))).otherwise(F.col(part)))
     node = lambda c: canonical_id("node", F.col("source"), F.col("room"), c)
     n = e.select("source", "room", F.explode("nodes").alias("n"))
     nodes = n.select("source", "room", node(F.col("n.native_node_id")).alias("node_id"), F.when(F.col("n.native_parent_node_id").isNotNull(), node(F.col("n.native_parent_node_id"))).alias("parent_id"), canonical_time(F.col("n.occurred_at")).alias("occurred_at"), "n.kind", F.col("n.message.role").alias("role"), F.array_join(F.transform("n.message.content", lambda b: b["text"]), "\n").alias("text"))

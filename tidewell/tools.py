@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import sys
 from collections.abc import Callable
@@ -25,9 +26,9 @@ class RequestError(ValueError):
 class Tools:
     """viewer is fixed for an instance: a client can't ask for another room's private text."""
 
-    def __init__(self, cards: DataFrame, turns: DataFrame, card_tags: DataFrame, access: DataFrame, viewer: str | None, settings: Settings = DEFAULT):
+    def __init__(self, cards: DataFrame, turns: DataFrame, card_tags: DataFrame, access: DataFrame, viewer: str | None, settings: Settings = DEFAULT, index: text_search.SearchIndex | None = None):
         self.cards, self.turns, self.tags, self.access, self.viewer, self.settings = cards, turns, card_tags, access, viewer, settings
-        self.index = text_search.postings(cards)
+        self.index = index  # a stored index; without one a search reads the cards
         self.calls: dict[str, Callable[..., list[dict]]] = {n: getattr(self, n) for n in LIMITS}
 
     def _rows(self, frame: DataFrame) -> list[dict]:
@@ -39,13 +40,27 @@ class Tools:
             raise RequestError(f"limit is 1 to {LIMITS[tool]}")
         return limit
 
-    def search(self, query: str, limit: int = 10) -> list[dict]:
+    def _expanded(self, rows: list[dict], expand: Any) -> list[dict]:
+        """rows, the first `expand` of them with their card's detail, in one look-up."""
+        if not isinstance(expand, int) or isinstance(expand, bool) or not 0 <= expand <= self.settings.expand_most:
+            raise RequestError(f"expand is 0 to {self.settings.expand_most}")
+        wanted = [r["card_id"] for r in rows[:expand]]
+        details = {d["card_id"]: d for d in self.card(wanted)} if wanted else {}
+        return [r | {"card": details[r["card_id"]]} if r["card_id"] in details else r for r in rows]
+
+    def search(self, query: str, limit: int = 10, expand: int = 0) -> list[dict]:
         if not isinstance(query, str) or not query.strip() or len(query) > MAX_QUERY:
             raise RequestError(f"query is a text of 1 to {MAX_QUERY} characters")
-        if not text_search.terms(query):
+        try:
+            groups = text_search.terms(query)
+        except ValueError as problem:
+            raise RequestError(str(problem)) from None
+        limit = self._limit("search", limit)
+        if not groups:
             return []
-        found = text_search.search(self.cards, self.index, self.tags, query, self.viewer, self._limit("search", limit))
-        return self._rows(found.join(self.cards.select("card_id", "headline"), "card_id").orderBy("priority", F.desc("score"), "card_id"))
+        index = self.index.read(groups) if self.index else None
+        found = text_search.search(self.cards, index, self.tags, query, self.viewer, limit, explain=True)
+        return self._expanded(self._rows(found.join(self.cards.select("card_id", "headline"), "card_id").orderBy("priority", F.desc("score"), "card_id")), expand)
 
     def card(self, ids: list[str], turns: bool = False) -> list[dict]:
         if not isinstance(ids, list) or not 1 <= len(ids) <= self.settings.expand_most or not all(isinstance(i, str) for i in ids):
@@ -73,13 +88,14 @@ class Tools:
         found = (browse.around if mode == "around" else browse.before)(placed, limit).where(F.col("anchor") == card_id)
         return self._rows(found.join(self.cards.select("card_id", "headline"), "card_id").orderBy("idx"))
 
-    def wander(self, limit: int = 5) -> list[dict]:
+    def wander(self, limit: int = 5, expand: int = 0, seed: int | None = None) -> list[dict]:
         now = self.settings.now.strftime("%Y-%m-%d %H:%M:%S")
-        return self._rows(browse.wander_rank(self.cards, self.access, self.viewer, now).orderBy("n_access", "dice").limit(self._limit("wander", limit)).join(self.cards.select("card_id", "headline"), "card_id"))
+        drawn = browse.wander_rank(self.cards, self.access, self.viewer, now, seed=seed).orderBy("n_access", "dice").limit(self._limit("wander", limit))
+        return self._expanded(self._rows(drawn.join(self.cards.select("card_id", "headline"), "card_id").orderBy("n_access", "dice")), expand)
 
-    def recent(self, limit: int = 20, since: str | None = None, until_date: str | None = None) -> list[dict]:
+    def recent(self, limit: int = 20, since: str | None = None, until_date: str | None = None, expand: int = 0) -> list[dict]:
         between = {k: v for k, v in (("since", since), ("until_date", until_date)) if v}
-        return self._rows(browse.recent(self.cards, self.viewer, self._limit("recent", limit), **between).select("card_id", "room", "headline", "card_ts"))
+        return self._expanded(self._rows(browse.recent(self.cards, self.viewer, self._limit("recent", limit), **between).select("card_id", "room", "headline", "card_ts")), expand)
 
     def answer(self, request: dict) -> dict:
         """One request {id, method, params} to one answer with result or error."""
@@ -89,6 +105,10 @@ class Tools:
             return out | {"result": {"tools": [{"name": n, "most": m} for n, m in LIMITS.items()]}}
         if method not in self.calls:
             return out | {"error": {"code": -32601, "message": f"no tool {method}"}}
+        if not isinstance(params, dict):
+            return out | {"error": {"code": -32602, "message": "params is an object"}}
+        if unknown := sorted(set(params) - set(inspect.signature(self.calls[method]).parameters)):
+            return out | {"error": {"code": -32602, "message": f"unknown arguments: {', '.join(unknown)}"}}
         try:
             return out | {"result": self.calls[method](**params)}
         except (RequestError, TypeError) as problem:
