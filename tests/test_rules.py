@@ -218,3 +218,35 @@ def test_report_as_text():
     rows = [{"section": "fresh", "place": 1, "key": "L1", "n_cards": 3, "n_new": 2, "note": "new"}, {"section": "community", "place": 1, "key": "C1", "n_cards": 9, "n_new": 2, "note": "2024-01-02"}]
     text = snapshot.render(rows, "2024-01-02", "2024-01-01")
     assert text.index("C1  9  +2") < text.index("L1  3  +2  new") and "against 2024-01-01" in text
+
+
+def test_files_are_found_oldest_first(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("b.json", "a.json", "c.txt")):
+        (tmp_path / name).write_text("x" * i)
+        os.utime(tmp_path / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = envelopes.discover(spark, str(tmp_path), "*.json").collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["bytes"]) for r in got] == [("b.json", 0), ("a.json", 1)]
+
+
+def test_cards_stream_through_windows(spark):
+    """The streamed form against the list form, with whole texts and several sessions a partition."""
+    rng = __import__("random").Random(3)
+    rows = [(s, r, m, f"s{s} r{r} m{m}\nsecond line") for s in range(7) for r in range(1, 2 + s * 9) for m in range(1, rng.randint(2, 4))]
+    seen = []
+
+    def summarize(rounds, texts):
+        assert all(t.startswith("s") and t.endswith("second line") for t in texts)
+        return [(rounds[0], rounds[len(rounds) // 2], texts[0].split("\n")[0]), (rounds[len(rounds) // 2], rounds[-1], f"{len(rounds)} {texts[-1].count('second')}")]
+
+    frame = spark.createDataFrame(rows, "session_id long, round long, message_seq long, text string").repartition(3)
+    got = sorted(map(tuple, cards.generate(frame, 5, 3, summarize).collect()))
+    for s in range(7):
+        texts = {}
+        for session, number, _, text in rows:
+            if session == s:
+                texts.setdefault(number, []).append(text)
+        made = cards.freeze_refeed(sorted(texts), ["\n".join(texts[n]) for n in sorted(texts)], summarize, 5, 3)
+        seen += [(s, i, *card) for i, card in enumerate(made, 1)]
+    assert got == sorted(seen) and len(got) > 20

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tidewell.functions.columns import strip
+
 
 def parse_cards(text: Column) -> Column:
     """array<struct<turn_start, turn_end, headline, share, private, tags>> from blocks of `turns:a-b`, `headline:`, `share:`, `private:`, `tags:`.
@@ -16,7 +21,7 @@ def parse_cards(text: Column) -> Column:
     A field goes on until the next one; an empty field stays empty; a block without turns is no card.
     """
     blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^turns:\s*\d+\s*-\s*\d+.*?(?=^turns:|\z)"), F.lit(0))
-    part = lambda b, name: F.trim(F.regexp_extract(b, rf"(?ms)^{name}:[ \t]*(.*?)\s*(?=^(?:headline|share|private|tags|turns):|\z)", 1))
+    part = lambda b, name: strip(F.regexp_extract(b, rf"(?ms)^{name}:[ \t]*(.*?)\s*(?=^(?:headline|share|private|tags|turns):|\z)", 1))
     return F.transform(
         blocks,
         lambda b: F.struct(
@@ -177,20 +182,28 @@ def extractive(rounds: list[int], texts: list[str], per_card: int = 4) -> list[t
 
 
 def freeze_refeed(rounds: list[int], texts: list[str], summarize: Summarizer = extractive, init: int = 14, grow: int = 14) -> list[tuple[int, int, str]]:
-    """Cards of a session: windows grow by `grow` rounds; with two cards or more all but the last are frozen, and the next
-    window begins at the end round of the last frozen one, that round included.  No card at all is an error."""
-    if len(rounds) <= init:
-        return _cards(summarize, rounds, texts)
-    frozen: list[tuple[int, int, str]] = []
-    begin, end = 0, init
+    """The cards of a session's rounds, as `refeed` gives them one by one."""
+    return list(refeed(zip(rounds, texts, strict=True), summarize, init, grow))
+
+
+def refeed(rounds: Iterable[tuple[int, str]], summarize: Summarizer = extractive, init: int = 14, grow: int = 14) -> Iterator[tuple[int, int, str]]:
+    """Cards of a session from its rounds in order: windows grow by `grow` rounds; with two cards or more all but the last are frozen, and the
+    next window begins at the end round of the last frozen one, that round included.  No card at all is an error.  Only a window is held."""
+    coming = iter(rounds)
+    ahead, held, seen, end = next(coming, None), [], 0, init
     while True:
-        cards = _cards(summarize, rounds[begin:end], texts[begin:end])
-        if end >= len(rounds):
-            return frozen + cards
+        while ahead is not None and seen < end:
+            held.append(ahead)
+            seen += 1
+            ahead = next(coming, None)
+        cards = _cards(summarize, [r for r, _ in held], [t for _, t in held])
+        if ahead is None:
+            yield from cards
+            return
         if len(cards) >= 2:
-            frozen += cards[:-1]
-            begin = rounds.index(frozen[-1][1])
-        end = min(end + grow, len(rounds))
+            yield from cards[:-1]
+            held = [x for x in held if x[0] >= cards[-2][1]]
+        end += grow
 
 
 def _cards(summarize: Summarizer, rounds: list[int], texts: list[str]) -> list[tuple[int, int, str]]:
@@ -200,16 +213,29 @@ def _cards(summarize: Summarizer, rounds: list[int], texts: list[str]) -> list[t
     return cards
 
 
-def generate(turns: DataFrame, init: int = 14, grow: int = 14) -> DataFrame:
-    """(session_id, n, turn_start, turn_end, headline): freeze_refeed over every session; a group is one session's rounds, whose
-    texts are cut to their first line before they are shuffled."""
-    rounds = turns.groupBy("session_id", "round").agg(F.min_by(F.split_part("text", F.lit("\n"), F.lit(1)), "message_seq").alias("text"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("round")
-        cards = freeze_refeed(part["round"].tolist(), part["text"].fillna("").tolist(), extractive, init, grow)
-        return pd.DataFrame([(part["session_id"].iloc[0], i + 1, a, b, h) for i, (a, b, h) in enumerate(cards)], columns=["session_id", "n", "turn_start", "turn_end", "headline"])
-
-    return rounds.groupBy("session_id").applyInPandas(run, "session_id long, n long, turn_start long, turn_end long, headline string")
-
+def generate(turns: DataFrame, init: int = 14, grow: int = 14, summarize: Summarizer = extractive) -> DataFrame:
+    """(session_id, n, turn_start, turn_end, headline): refeed over every session, on the whole text of all messages of each round.
 
+    Sessions are sorted within partitions and stream through, so a task holds a window of rounds, however long its sessions are.
+    """
+    ordered = turns.select("session_id", "round", "message_seq", "text").repartition("session_id").sortWithinPartitions("session_id", "round", "message_seq")
+    kind = turns.schema["session_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((session, number, text or "") for batch in batches for session, number, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True))
+        out: list[tuple] = []
+        for session, mine in groupby(rows, lambda r: r[0]):
+            rounds = ((number, "\n".join(t for _, _, t in said)) for number, said in groupby(mine, lambda r: r[1]))
+            out += [(session, i, *card) for i, card in enumerate(refeed(rounds, summarize, init, grow), 1)]
+            if len(out) > 10_000:
+                yield _card_rows(out)
+                out = []
+        if out:
+            yield _card_rows(out)
+
+    numbers = [T.StructField(n, T.LongType()) for n in ("n", "turn_start", "turn_end")]
+    return ordered.mapInArrow(run, T.StructType([T.StructField("session_id", kind), *numbers, T.StructField("headline", T.StringType())]))
+
+
+def _card_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["session_id", "n", "turn_start", "turn_end", "headline"])

@@ -25,6 +25,12 @@ TREE = (
 LEGACY = "ARRAY<STRUCT<role: STRING, text: STRING, timestamp: STRING, round: BIGINT, session: STRING>>"
 
 
+def discover(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, modified, bytes) of files below a folder, oldest first; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")).orderBy("modified", "path")
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, modified, value): whole files."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
