@@ -11,6 +11,7 @@ token column of all.  Without a stored index the same pass gives only the postin
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -33,19 +34,26 @@ MOST_TERMS = 12
 CARD = ""
 _WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
 _RUN = regex.compile(rf"[{_WIDE}]+|[[\p{{L}}\p{{M}}\p{{N}}]--[{_WIDE}]]+", regex.V1)
-_IS_WIDE = regex.compile(rf"[{_WIDE}]")
+_IS_WIDE, _MARKS, _WORD, _PLAIN = regex.compile(rf"[{_WIDE}]"), regex.compile(r"\p{Mn}+"), regex.compile(r"[\p{L}\p{M}\p{N}]+"), re.compile(r"[a-z0-9]+")
 POSTINGS = "card_id string, room string, shared boolean, length int, field string, token string, tf int"
 
 
 def fold(text: str) -> str:
     """Lower-cased, without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c)) if not text.isascii() else text.lower()
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", text.lower())))
 
 
 def words_of(text: str | None) -> list[str]:
     """The index side's tokens, in order."""
+    folded = fold(text or "")
+    if folded.isascii():
+        return _PLAIN.findall(folded)
+    if not _IS_WIDE.search(folded):
+        return _WORD.findall(folded)
     out: list[str] = []
-    for run in _RUN.findall(unicodedata.normalize("NFC", fold(text or ""))):
+    for run in _RUN.findall(folded):
         if _IS_WIDE.match(run):
             out += list(run) + [run[i : i + 2] for i in range(len(run) - 1)]
         else:
@@ -59,7 +67,7 @@ def terms(query: str, most: int = MOST_TERMS) -> list[list[str]]:
     A run of wide signs asks for its sign, or for the pairs that cover it, so that `ABCD` is also found in `AB x CD`.  More than `most` runs are refused.
     """
     out: dict[str, list[str]] = {}
-    for run in _RUN.findall(unicodedata.normalize("NFC", fold(query))):
+    for run in _RUN.findall(fold(query)):
         if not _IS_WIDE.match(run) or len(run) == 1:
             out[run] = [run]
         else:
@@ -83,11 +91,12 @@ def postings(cards: DataFrame, wanted: Callable[[str], bool] | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for i in range(batch.num_rows):
-                card, room, shared = (batch.column(k)[i].as_py() for k in range(3))
-                counts = [(name, Counter(words_of(batch.column(3 + k)[i].as_py()))) for k, name in enumerate(FIELDS)]
-                length = sum(c.total() for _, c in counts)
-                made = [("", CARD, 0)] + [(name, token, tf) for name, c in counts for token, tf in c.items() if wanted is None or wanted(token)]
+            for card, room, shared, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = [words_of(text) for text in texts]
+                length = sum(map(len, words))
+                if wanted is not None:
+                    words = [[w for w in found if wanted(w)] for found in words]
+                made = [("", CARD, 0)] + [(name, token, tf) for name, found in zip(FIELDS, words, strict=True) for token, tf in Counter(found).items()]
                 for name, token, tf in made:
                     for column, value in zip(out, (card, room, shared, length, name, token, tf), strict=True):
                         column.append(value)

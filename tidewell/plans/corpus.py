@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from tidewell.functions.columns import canonical_id, tokens
 from tidewell.operators.rounds import assign_rounds
-from tidewell.store import cut
+from tidewell.store import cut, spread
 
 FORK_OFFSET = 1_000_000
 
@@ -27,6 +27,10 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"))
+
     @cached_property
     def said(self) -> DataFrame:
         """Messages of users and assistants."""
@@ -75,7 +79,7 @@ class Corpus:
 
     @cached_property
     def cards(self) -> DataFrame:
-        docs, events = self.table("documents"), self.table("events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("card_ts"))
+        docs, events = self.documents, self.table("events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("card_ts"))
         d = F.col("doc_id")
         headline = F.split_part("text", F.lit("\n"), F.lit(1))
         return docs.join(events, "doc_id").select(
@@ -88,7 +92,7 @@ class Corpus:
     @cached_property
     def doc_tokens(self) -> DataFrame:
         """(doc_id, token) once each, of six characters or more."""
-        words = self.table("documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+        words = self.documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
         return cut(words.where(F.length("token") >= 6), "doc_tokens")  # texts are cut into words once
 
     @cached_property

@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
+#: A scan of fewer bytes is dealt out to all cores before work on its texts; a larger one has splits enough.
+SMALL_SCAN = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan (by its files' size) in as many partitions as there are cores: a file of one row group is one task's work otherwise."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_SCAN else df
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """df written to the shared folder and read back, so that loops don't grow the plan and a lost executor loses no round."""
     spark = df.sparkSession
