@@ -224,10 +224,10 @@ def test_files_are_found_oldest_first(spark, tmp_path):
     import os
 
     for i, name in enumerate(("b.json", "a.json", "c.txt")):
-        (tmp_path / name).write_text("x" * i)
+        (tmp_path / name).write_text("x" * (i + 1))
         os.utime(tmp_path / name, (1_700_000_000 + i, 1_700_000_000 + i))
     got = envelopes.discover(spark, str(tmp_path), "*.json").collect()
-    assert [(r["path"].rsplit("/", 1)[1], r["bytes"]) for r in got] == [("b.json", 0), ("a.json", 1)]
+    assert [(r["path"].rsplit("/", 1)[1], r["bytes"]) for r in got] == [("b.json", 1), ("a.json", 2)]
 
 
 def test_cards_stream_through_windows(spark):

@@ -26,7 +26,7 @@ LEGACY = "ARRAY<STRUCT<role: STRING, text: STRING, timestamp: STRING, round: BIG
 
 
 def discover(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, modified, bytes) of files below a folder, oldest first; contents aren't read."""
+    """(path, modified, bytes) of files below a folder, oldest first; contents aren't read, and empty files have no row."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")).orderBy("modified", "path")
 
