@@ -145,7 +145,7 @@ def clean_messages(c):
     wrap = lambda before, after="": F.concat(F.lit(before), text, F.lit(after))
     raw = (
         F.when(d == 1, wrap("<system-reminder>a\nb</system-reminder>")).when(d == 2, wrap("<task-notification>")).when(d == 3, wrap('{"type":"result","x":1} '))
-        .when(d == 4, F.lit(" [Request interrupted by user]\n")).when(d == 5, wrap("<local-command-stdout>")).when(d == 6, F.lit("<command-name>/model</command-name>\n<command-args>maker/opus-4.1</command-args>"))
+        .when(d == 4, F.lit(" [Request interrupted by user]\n")).when(d == 5, wrap("<local-command-stdout>")).when(d == 6, F.lit("<command-name>/model</command-name>\n<command-args>maker/x-4.1</command-args>"))
         .when(d == 7, wrap("<command-name>/goal</command-name>\n<command-args> ", "\n</command-args>")).when(d == 8, wrap("I typed <command-name> today: "))
         .when(d == 9, F.lit("<command-name>/x</command-name><command-args>修好它。</command-args>")).when(d == 10, wrap("[heartbeat] 12:00\n# atrun ")).when(d == 11, wrap("", "\n<system-reminder>x</system-reminder>\n")).otherwise(text)
     )
