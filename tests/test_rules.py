@@ -97,6 +97,13 @@ def test_archives_that_lose_or_differ_stop(spark):
             envelopes.archive_tree(export(spark, *snaps), "r").collect()
 
 
+def test_the_latest_snapshot_may_have_lost_all_messages(spark):
+    chat = lambda at, *said: json.dumps([{"uuid": "c", "updated_at": at, "chat_messages": [{"uuid": u, "sender": sender, "created_at": "2024-01-01T00:00:00Z", "text": "x"} for u, sender in said]}])
+    files = spark.createDataFrame([("/x/0.json", chat("1", ("s", "system"), ("a", "human"))), ("/x/1.json", chat("2", ("s", "system")))], "path string, value string")
+    said, snaps = envelopes.export_messages(files), envelopes.export_snapshots(files)
+    assert [r["path"] for r in envelopes.snapshot_select(said, snaps).collect()] == ["/x/1.json"]
+
+
 def test_models_are_asked_again(spark, tmp_path):
     answers, slept = [RuntimeError("down"), "", "\x1b[1mfine\x1b[0m\x07"], []
 

@@ -150,7 +150,8 @@ def scan_export(c):
 
 @query("SELECT 'c' || conv_id AS session, '/exports/' || snap || '-' || conv_id || '.json' AS path FROM chosen_t WHERE conv_id IN (SELECT conv_id FROM exported_t WHERE role <> 'system')", **ARCHIVE)
 def snapshot_select(c):
-    return e.snapshot_select(e.export_messages(archive(c))).select("session", "path")
+    files = archive(c)
+    return e.snapshot_select(e.export_messages(files), e.export_snapshots(files)).select("session", "path")
 
 
 @query(

@@ -60,11 +60,21 @@ def export_messages(files: DataFrame) -> DataFrame:
     return rows.select("path", "chat_index", "session", "updated_at", "size", "index", F.col("m.uuid").alias("uuid"), F.col("m.parent_message_uuid").alias("parent"), role.alias("role"), text.alias("text"), F.col("m.created_at").alias("created_at")).where(F.col("role").isNotNull() & ~blank(F.col("text")))
 
 
-def snapshot_select(rows: DataFrame) -> DataFrame:
-    """(session, path, chat_index): the latest snapshot of each conversation, then the largest, then the least place."""
-    snaps = rows.select("session", "path", "chat_index", "updated_at", "size").distinct()
+def export_snapshots(files: DataFrame) -> DataFrame:
+    """(session, path, chat_index, updated_at, size) of every conversation in archive exports (path, value), with messages that have a row or without."""
+    chats = files.select("path", F.posexplode(F.from_json("value", EXPORT)).alias("chat_index", "c"))
+    return chats.select(F.col("c.uuid").alias("session"), "path", "chat_index", F.col("c.updated_at").alias("updated_at"), F.size("c.chat_messages").alias("size"))
+
+
+def snapshot_select(rows: DataFrame, snaps: DataFrame | None = None) -> DataFrame:
+    """(session, path, chat_index): the latest snapshot of each conversation, then the largest, then the least place.
+
+    snaps: all snapshots (`export_snapshots`), so that one that has lost all its messages can be the latest; without it, those that have rows.
+    A conversation without rows in any snapshot is none.
+    """
+    known = rows.select("session", "path", "chat_index", "updated_at", "size").distinct() if snaps is None else snaps.join(rows.select("session").distinct(), "session", "left_semi")
     w = W.partitionBy("session").orderBy(F.desc("updated_at"), F.desc("size"), "path", "chat_index")
-    return snaps.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("session", "path", "chat_index")
+    return known.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("session", "path", "chat_index")
 
 
 def snapshot_problems(rows: DataFrame) -> DataFrame:
