@@ -102,6 +102,9 @@ def test_the_latest_snapshot_may_have_lost_all_messages(spark):
     files = spark.createDataFrame([("/x/0.json", chat("1", ("s", "system"), ("a", "human"))), ("/x/1.json", chat("2", ("s", "system")))], "path string, value string")
     said, snaps = envelopes.export_messages(files), envelopes.export_snapshots(files)
     assert [r["path"] for r in envelopes.snapshot_select(said, snaps).collect()] == ["/x/1.json"]
+    assert [tuple(r) for r in envelopes.snapshot_problems(said, snaps).collect()] == [("c", "omits earlier nodes")]
+    with pytest.raises(Exception, match="omits earlier nodes"):
+        envelopes.archive_tree(said, "r", snaps=snaps).collect()
 
 
 def test_models_are_asked_again(spark, tmp_path):

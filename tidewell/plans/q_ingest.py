@@ -159,7 +159,8 @@ def snapshot_select(c):
       conv_id % 17 = 0 AND conv_id % 3 = 0 AND turn = (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id) OR conv_id % 19 = 5 AND conv_id % 3 <> 0 AND conv_id % 17 <> 0)"""
 )
 def snapshot_problems(c):
-    return e.snapshot_problems(e.export_messages(archive(c)))
+    files = archive(c)
+    return e.snapshot_problems(e.export_messages(files), e.export_snapshots(files))
 
 
 @query(
@@ -168,7 +169,8 @@ def snapshot_problems(c):
     **SOUND,
 )
 def archive_tree(c):
-    return e.archive_tree(e.export_messages(archive(c, True)), "r2").select("node_id", "parent_id", "role", "detached")
+    files = archive(c, True)
+    return e.archive_tree(e.export_messages(files), "r2", snaps=e.export_snapshots(files)).select("node_id", "parent_id", "role", "detached")
 
 
 @query(

@@ -77,9 +77,9 @@ def snapshot_select(rows: DataFrame, snaps: DataFrame | None = None) -> DataFram
     return known.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("session", "path", "chat_index")
 
 
-def snapshot_problems(rows: DataFrame) -> DataFrame:
-    """(session, problem): a chosen snapshot that lost nodes of another one, or that differs from one as recent and as large."""
-    chosen = snapshot_select(rows)
+def snapshot_problems(rows: DataFrame, snaps: DataFrame | None = None) -> DataFrame:
+    """(session, problem): a chosen snapshot that lost nodes of another one, or that differs from one as recent and as large; snaps as in `snapshot_select`."""
+    chosen = snapshot_select(rows, snaps)
     place = ["session", "path", "chat_index"]
     kept = rows.join(chosen, place, "left_semi")
     lost = rows.join(kept.select("session", "uuid").distinct(), ["session", "uuid"], "left_anti").select("session", F.lit("omits earlier nodes").alias("problem"))
@@ -89,14 +89,15 @@ def snapshot_problems(rows: DataFrame) -> DataFrame:
     return lost.unionByName(differs).groupBy("session").agg(F.min("problem").alias("problem"))
 
 
-def archive_tree(rows: DataFrame, room: str, source: str = "archive") -> DataFrame:
+def archive_tree(rows: DataFrame, room: str, source: str = "archive", snaps: DataFrame | None = None) -> DataFrame:
     """(node_id, parent_id, role, text, occurred_at, session, detached): a parent that isn't there leaves a detached root.
 
-    A conversation with a problem of `snapshot_problems` stops the load.
+    A conversation with a problem of `snapshot_problems` stops the load; snaps as there.
     """
-    kept = rows.join(snapshot_select(rows), ["session", "path", "chat_index"], "left_semi").join(snapshot_problems(rows), "session", "left")
     stopped = F.raise_error(F.concat("problem", F.lit(": "), "session"))
-    kept = kept.withColumn("uuid", F.when(F.col("problem").isNotNull(), stopped).otherwise(F.col("uuid"))).drop("problem")
+    chosen = snapshot_select(rows, snaps).join(snapshot_problems(rows, snaps), "session", "left")
+    chosen = chosen.select(F.when(F.col("problem").isNotNull(), stopped).otherwise(F.col("session")).alias("session"), "path", "chat_index")
+    kept = rows.join(chosen, ["session", "path", "chat_index"], "left_semi")
     known = kept.select("session", F.col("uuid").alias("parent"), F.lit(True).alias("known"))
     linked = kept.join(known, ["session", "parent"], "left")
     node = lambda c: canonical_id("node", F.lit(source), F.lit(room), c)
