@@ -108,6 +108,25 @@ def test_knn_blocks_agree(spark):
     assert {b for a, b, _ in one if a == "c000"} == {f"c{j:03d}" for j in np.argsort(-s[0])[:4]}
 
 
+def test_pairs_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    tags = sorted({(f"c{i:02d}", f"e{j}") for i, j in zip(rng.integers(0, 60, 300).tolist(), rng.integers(0, 25, 300).tolist(), strict=True)})
+    entities = spark.createDataFrame(tags, "card_id string, entity string")
+    idf = spark.createDataFrame([(f"e{j}", 5, 0.5 + j) for j in range(24)] + [("e24", 60, 0.0)], "entity string, df long, idf double")
+    want: dict = {}
+    for x, e in tags:
+        for y, f in tags:
+            if x < y and e == f and e != "e24":
+                n, w = want.get((x, y), (0, 0.0))
+                want[x, y] = (n + 1, w + 0.5 + int(e[1:]))
+    monkeypatch.setattr(index, "LEAST_TILE", 40)
+    monkeypatch.setattr(index, "CHUNK", 30)
+    found = index.cooccurrence(entities, idf)
+    assert rows(found) == sorted((a, b, n, w) for (a, b), (n, w) in want.items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan  # postings meet by blocks, pairs are never shuffled
+
+
 def test_constant_cosine_gives_no_embedding_weight(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0, 0.0])], "card_id string, vector array<double>")
     cooc = spark.createDataFrame([("a", "b", 1, 2.0)], "a string, b string, n_shared long, weight double")
