@@ -64,6 +64,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {found[i] for i in range(101)} == {0} and {found[500 + i] for i in range(50)} == {500}
 
 
+def test_spanning_keeps_components_with_few_edges(spark):
+    pairs = [(i, j) for i in range(60) for j in range(i)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    few = components.spanning(edges)
+    assert few.count() <= 3 * 61 and rows(components.components(few)) == rows(components.components(edges))
+
+
 def test_touched_files(spark):
     files = spark.createDataFrame([("f1", "s1"), ("f2", "s1"), ("f2", "s2"), ("f3", "s2"), ("f4", "s9")], "file string, session string")
     got = components.touched_files(files, spark.createDataFrame([("f1",)], "file string"))
