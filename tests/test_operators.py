@@ -228,6 +228,14 @@ def test_large_graphs_are_split_by_all_tasks(spark):
     assert len(paths) == n and len({p.split(".")[1] for p in paths.values() if "." in p}) >= 8
 
 
+def test_moves_send_counted_parts_to_the_edges(spark, monkeypatch):
+    pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xyz" for i in range(8) for j in range(i)] + [("x0", "y0", 1.0), ("y1", "z0", 1.0)]
+    edges = spark.createDataFrame(pairs, "a string, b string, weight double")
+    few = rows(leiden._moves(edges, 4))
+    monkeypatch.setattr(leiden, "MAX_HELD", 3)  # with more nodes the same joins shuffle
+    assert rows(leiden._moves(edges, 4)) == few and len(few) == 24
+
+
 def test_leiden_finds_planted_parts():
     rng = np.random.default_rng(1)
     label = np.arange(80) // 20
