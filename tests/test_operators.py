@@ -159,6 +159,21 @@ def test_graph_with_cosines_from_blocks(spark, monkeypatch):
     assert [(int(a[1:]), int(b[1:])) for a, b, _ in nearest] == sorted((i, int(j)) for i in range(80) for j in np.lexsort((np.arange(80), -s[i]))[:3])
 
 
+def test_rarest_ranks_before_the_shuffle(spark):
+    rng = np.random.default_rng(3)
+    pairs = sorted({(d, f"t{int(30 * x**3):02d}") for d in range(40) for x in rng.random(12)})
+    count: dict = {}
+    for _, t in pairs:
+        count[t] = count.get(t, 0) + 1
+    want = sorted((d, t) for d in range(40) for _, t in sorted((count[t], t) for e, t in pairs if e == d and count[t] > 1)[:3])
+    df = spark.createDataFrame(pairs, "d int, t string")
+    for common in (1, 5, 100):  # other values than these meet their counts by shuffle
+        found = index.rarest(df, "d", "t", 3, common)
+        assert rows(found) == want
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in plan  # also before the exchange
+
+
 def test_secondary_at_the_threshold(spark):
     edges = spark.createDataFrame([("x", f"o{i}") for i in range(17)] + [("x", f"p{i}") for i in range(3)], "a string, b string")
     members = spark.createDataFrame([("x", "A")] + [(f"o{i}", "A") for i in range(17)] + [(f"p{i}", "B") for i in range(3)], "card_id string, cluster_id string")
