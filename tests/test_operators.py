@@ -174,6 +174,32 @@ def test_rarest_ranks_before_the_shuffle(spark):
         assert plan.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in plan  # also before the exchange
 
 
+def _few_cards(spark):
+    rng = np.random.default_rng(9)
+    raw = rng.normal(size=(60, 5)).astype(np.float32)
+    raw[30:33] = raw[0]  # copies: ties
+    cards_ = spark.createDataFrame([(f"c{i:02d}", x.tolist()) for i, x in enumerate(raw)], "card_id string, vector array<float>")
+    entities = spark.createDataFrame(sorted({(f"c{i:02d}", f"e{j}") for i, j in zip(rng.integers(0, 70, 150).tolist(), rng.integers(0, 30, 150).tolist(), strict=True)}), "card_id string, entity string")
+    idf = spark.createDataFrame([(f"e{j}", 5, 0.5 + j) for j in range(29)] + [("e29", 60, 0.0)], "entity string, df long, idf double")
+    return cards_, entities, idf
+
+
+def test_graph_where_pairs_meet(spark, monkeypatch):
+    raw, entities, idf = _few_cards(spark)
+    unit = index.centered(raw)
+    want = rows(index.card_graph(unit, index.cooccurrence(entities, idf), 4))
+    monkeypatch.setattr(index, "LEAST_TILE", 20)
+    monkeypatch.setattr(index, "CHUNK", 15)
+    graph = index.CardGraph(entities, idf, raw, index.mean_vector(raw).first()["mean"], k=4)
+    assert rows(graph.edges()) == want and rows(index.CardGraph(entities, idf, unit, k=4).edges()) == want
+    weights = [r[4] for r in want]
+    got = graph.weights().first()
+    assert (got["n_edges"], got["lo"], got["hi"], round(got["mean"], 9)) == (len(want), min(weights), max(weights), round(sum(weights) / len(want), 9))
+    plan = graph.edges()._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan  # no pair is joined, grouped or stored
+    assert index.CardGraph(entities, idf, raw.limit(0)).weights().first()["n_edges"] == 0
+
+
 def test_secondary_at_the_threshold(spark):
     edges = spark.createDataFrame([("x", f"o{i}") for i in range(17)] + [("x", f"p{i}") for i in range(3)], "a string, b string")
     members = spark.createDataFrame([("x", "A")] + [(f"o{i}", "A") for i in range(17)] + [(f"p{i}", "B") for i in range(3)], "card_id string, cluster_id string")
