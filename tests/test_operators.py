@@ -200,6 +200,18 @@ def test_graph_where_pairs_meet(spark, monkeypatch):
     assert index.CardGraph(entities, idf, raw.limit(0)).weights().first()["n_edges"] == 0
 
 
+def test_leaves_are_counted_where_pairs_meet(spark, monkeypatch):
+    raw, entities, idf = _few_cards(spark)
+    leaves = spark.createDataFrame([(f"c{i:02d}", f"L{i % 7}") for i in range(55)], "card_id string, cluster_id string")  # five cards have none
+    mean = index.mean_vector(raw).first()["mean"]
+    want = rows(index.secondary_membership(index.CardGraph(entities, idf, raw, mean).edges(), leaves))
+    monkeypatch.setattr(index, "LEAST_TILE", 20)
+    for most in (index.MOST_COUNTS, 1):
+        monkeypatch.setattr(index, "MOST_COUNTS", most)
+        counts = index.CardGraph(entities, idf, raw, mean, leaves).leaf_counts()
+        assert want and rows(index.secondary_leaves(counts, leaves)) == want
+
+
 def test_secondary_at_the_threshold(spark):
     edges = spark.createDataFrame([("x", f"o{i}") for i in range(17)] + [("x", f"p{i}") for i in range(3)], "a string, b string")
     members = spark.createDataFrame([("x", "A")] + [(f"o{i}", "A") for i in range(17)] + [(f"p{i}", "B") for i in range(3)], "card_id string, cluster_id string")
