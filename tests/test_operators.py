@@ -212,6 +212,14 @@ def test_leaves_are_counted_where_pairs_meet(spark, monkeypatch):
         assert want and rows(index.secondary_leaves(counts, leaves)) == want
 
 
+def test_a_large_graph_is_stored_once(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)], "a string, b string, weight double")
+    labels: list = []
+    monkeypatch.setattr(leiden, "cut", lambda df, label="step": labels.append(label) or df)
+    leiden._moves(edges, 1)
+    assert "both" not in labels  # the two directions are read, not stored
+
+
 def test_secondary_at_the_threshold(spark):
     edges = spark.createDataFrame([("x", f"o{i}") for i in range(17)] + [("x", f"p{i}") for i in range(3)], "a string, b string")
     members = spark.createDataFrame([("x", "A")] + [(f"o{i}", "A") for i in range(17)] + [(f"p{i}", "B") for i in range(3)], "card_id string, cluster_id string")
