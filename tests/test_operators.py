@@ -373,3 +373,51 @@ def test_versioned_table(spark, tmp_path):
     table.upsert(frame((1, "new")), ["k"], keep="last")
     assert rows(table.read()) == [(1, "new"), (2, "b"), (3, "c")]
     assert table.vacuum() >= 2 and table.read().count() == 3
+
+
+def test_rewired_graphs_keep_their_degrees():
+    rng = np.random.default_rng(4)
+    pairs = np.array([(i, j) for i in range(60) for j in range(i) if rng.random() < (0.5 if i % 3 == j % 3 else 0.05)])
+    a, b = pairs[:, 1], pairs[:, 0]  # as in a card graph the lesser name comes first
+    x, y = leiden._swapped(60, a, b, 0)
+    assert (np.bincount(np.r_[x, y], minlength=60) == np.bincount(np.r_[a, b], minlength=60)).all() and (x != y).all()
+    assert len({(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}) == len(a)  # no pair twice
+    assert (np.bincount(x, minlength=60) != np.bincount(a, minlength=60)).any()  # an edge has no direction
+    alone = [leiden.rewired(60, a, b, np.ones(len(a)), i) for i in range(20)]
+    beside = leiden.nulls(60, a, b, np.ones(len(a)), 0, 20)
+    assert abs(np.mean(alone) - np.mean(beside)) < 0.02
+    assert leiden.beaten(leiden.modularity(60, a, b, np.ones(len(a)), np.arange(60) % 3), beside)
+
+
+def test_a_verdict_before_the_last_rewired_graph_is_the_verdict_of_all():
+    rng = np.random.default_rng(8)
+    early = 0
+    for _ in range(200):
+        values = rng.normal(0.3, 0.02, 20).tolist()
+        q = float(rng.uniform(0.2, 0.45))
+        last = leiden.beaten(q, values)
+        assert last == (q > np.mean(values) + 2 * np.std(values))
+        for n in (5, 10, 15):
+            got = leiden.beaten(q, values[:n])
+            early += got is not None
+            assert got is None or got == last
+    assert early > 50
+
+
+@pytest.mark.parametrize("most", [40, 10_000])
+def test_numbered_cards_are_split_as_joined_ones(spark, monkeypatch, most):
+    pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "wxyz" for i in range(9) for j in range(i)] + [("w0", "x0", 0.5), ("x1", "y0", 0.5), ("y1", "z0", 0.5), ("p", "q", 1.0)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in pairs], "a string, b string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in sorted({p for e in pairs for p in e[:2]} | {"lone"})], "card_id string")
+
+    def groups(found):
+        by: dict = {}
+        for card, path in found.collect():
+            by.setdefault(path, set()).add(card)
+        return by
+
+    held = groups(leiden.hierarchy(edges, nodes, most))
+    assert held["lone"] == {"lone"} and held["p"] == {"p", "q"} and sum(map(len, held.values())) == nodes.count()
+    assert {frozenset(x) for x in held.values()} >= {frozenset(f"{g}{i}" for i in range(9)) for g in "wxyz"}
+    monkeypatch.setattr(leiden, "MAX_HELD", 3)
+    assert {frozenset(x) for x in groups(leiden.hierarchy(edges, nodes, 10_000)).values()} == {frozenset(x) for x in held.values()}
